@@ -138,7 +138,7 @@ def _quantile(df: DataFrame, by: list[str], q: float) -> DataFrame:
     return n.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)).where((F.col("upto") >= F.col("all") * q) & (F.col("upto") - F.col("n") < F.col("all") * q)).drop("n", "upto", "all")
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 1e-9, min_group: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 1e-6, min_group: int = 200) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows.
