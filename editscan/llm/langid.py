@@ -11,110 +11,126 @@ from __future__ import annotations
 import math
 import re
 
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, words_of
+from .common import _arrow_schema, stage, words_of
 
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
-def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_docs: int = 8000, max_langs: int = 200, max_words: int = 100_000, max_grams: int = 50_000, longest: int = 4) -> dict:
+@dataclass
+class Model:
+    """Words and n-grams as rows of log frequencies, a column per language."""
+
+    langs: list[str]
+    words: dict[str, int]
+    word_logs: np.ndarray
+    grams: dict[str, int]
+    gram_logs: np.ndarray
+    longest: int
+
+
+def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_docs: int = 8000, max_langs: int = 200, max_words: int = 100_000, max_grams: int = 50_000, longest: int = 4) -> Model:
     """Learns from rows with a language. The sample takes about ``max_docs`` documents of each language, by hash of id."""
     src = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)).alias("h"))
     n = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(n)
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "longest": longest}
+        return Model([], {}, np.empty((0, 0)), {}, np.empty((0, 0)), longest)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(math.ceil(min(1.0, max_docs / n[k]) * (1 << 20))))])
     sample = src.where(F.col("lang").isin(langs)).where(F.col("h") < share[F.col("lang")])
     word = F.regexp_replace(F.lower("w"), r"^[^\p{L}]+|[^\p{L}]+$", "")
     words = sample.select("lang", F.explode(words_of(F.col("text"))).alias("w")).select("lang", word.alias("w")).where("w <> ''").groupBy("w", "lang").agg(F.count("*").alias("n"))
+    words = stage(words, "words")
 
-    def top(counts: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-        best = counts.groupBy(key).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where("all > 1").orderBy(F.desc("all"), key).limit(most)
-        return {r[key]: r["by"] for r in best.select(key, "by").collect()}
+    def top(counts: DataFrame, key: str, most: int) -> tuple[dict[str, int], np.ndarray]:
+        each = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)) for k in langs]
+        best = counts.groupBy(key).agg(F.sum("n").alias("all"), F.array(*each).alias("by")).where("all > 1").orderBy(F.desc("all"), key).limit(most).select(key, "by").toArrow()
+        c = np.array(best.column("by").combine_chunks().flatten(), np.float64).reshape(-1, len(langs))
+        return {w: i for i, w in enumerate(best.column(key).to_pylist())}, np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1)))
 
     marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     grams = words.where(F.length("w") <= 40).select("lang", "n", F.explode(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (g - 1), F.lit(1))), lambda i, g=g: F.substring(marked, i, F.lit(g))) for g in range(1, longest + 1)]))).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
-    return {"langs": langs, "words": _logs(top(words, "w", max_words), langs), "grams": _logs(top(grams, "g", max_grams), langs), "longest": longest}
-
-
-def _logs(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, tuple[float, ...]]:
-    total = [sum(c.get(k, 0) for c in counts.values()) for k in langs]
-    return {w: tuple(math.log((c.get(k, 0) + 0.5) / (t + 0.5 * (len(counts) + 1))) for k, t in zip(langs, total)) for w, c in counts.items()}
-
-
-def word_scores(word: str, model: dict) -> tuple[float, ...] | None:
-    """Per language log frequency of a word, centred; None for one without letters."""
-    word = _EDGE.sub("", word.lower())
-    if not word:
-        return None
-    got = model["words"].get(word)
-    if got is None:
-        marked = f"^{word}$"
-        for g in range(min(model["longest"], len(marked)), 0, -1):
-            known = [model["grams"][x] for x in (marked[i : i + g] for i in range(len(marked) - g + 1)) if x in model["grams"]]
-            if known:
-                got = tuple(sum(k) / len(known) for k in zip(*known))
-                break
-        else:
-            return None
-    mean = sum(got) / len(got)
-    return tuple(x - mean for x in got)
-
-
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    return Model(langs, *top(words, "w", max_words), *top(grams, "g", max_grams), longest)
+
+
+def word_scores(words: list[str], model: Model) -> np.ndarray:
+    """Log frequencies of words, a row each and a column per language, centred; 0 for a word without evidence."""
+    out = np.zeros((len(words), len(model.langs)))
+    at, known, owner, flat = [], [], [], []
+    get = model.grams.get
+    for k, w in enumerate(words):
+        w = _EDGE.sub("", w.lower())
+        i = model.words.get(w)
+        if i is not None:
+            at.append(k)
+            known.append(i)
+        elif w:
+            m = f"^{w}$"
+            for g in range(min(model.longest, len(m)), 0, -1):
+                found = [i for i in map(get, [m[j : j + g] for j in range(len(m) - g + 1)]) if i is not None]
+                if found:
+                    owner += [k] * len(found)
+                    flat += found
+                    break
+    if at:
+        out[at] = model.word_logs[known]
+    if flat:
+        owner = np.array(owner)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        out[owner[first]] = np.add.reduceat(model.gram_logs[flat], first, axis=0) / np.diff(first, append=len(owner))[:, None]
+    return out - out.mean(axis=1, keepdims=True) if len(words) and len(model.langs) else out
+
+
+class _Index(dict):
+    """Numbers words as they are met; ``fresh`` holds those not scored yet."""
+
+    fresh: list
+
+    def __missing__(self, w):
+        self[w] = k = len(self)
+        self.fresh.append(w)
+        return k
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row's ``keep`` columns with lang_pred and score.
 
     ``und`` with score 0 if the text is null or has no letter (or nothing was learned). Score: the
-    language's share of the softmax of mean evidence, 0 to 1. Ties: the first language by code
+    language's share of the softmax of the words' summed evidence, 0 to 1. Ties: the first language by code
     point. Null ids stay null; repeated rows are each predicted; other columns are ignored.
     """
-    import numpy as np
-
     src = docs.select(F.col(text).cast("string").alias("_t"), *keep)
-    sent, ddl = docs.sparkSession.sparkContext.broadcast(model), ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+    sent, ddl = docs.sparkSession.sparkContext.broadcast(dict(vars(model))), ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
     schema = _arrow_schema(docs.sparkSession, ddl)
 
     def run(batches):
-        m = sent.value
-        langs, index, rows = m["langs"], {}, [(0.0,) * len(m["langs"])]
-        table, known = np.array(rows), 1
-
-        def number(w: str) -> int:
-            s = word_scores(w, m)
-            if s is None:
-                return 0
-            rows.append(s)
-            return len(rows) - 1
-
+        m = Model(**sent.value)
+        langs, index = m.langs, _Index()
+        index.fresh, table = [], np.zeros((0, len(langs)))
         for b in batches:
-            out = []
-            for t in b.column(0):
-                t = t.as_py()
-                if not langs or t is None or not _LETTER.search(t):
-                    out.append((UND, 0.0))
-                    continue
-                ids = []
-                for w in t.encode().split():
-                    k = index.get(w)
-                    if k is None:
-                        index[w] = k = number(w.decode())
-                    ids.append(k)
-                if len(rows) > known:
-                    table = np.concatenate([table, np.array(rows[known:])])
-                    known = len(rows)
-                total = table[ids].sum(axis=0)
-                best = int(total.argmax())
-                share = np.exp(np.minimum(0, total - total[best]))
-                out.append((langs[best], float(1 / share.sum())))
+            out, texts = [], b.column(0).to_pylist()
+            for a in range(0, len(texts), 500):
+                ids = [None if not langs or t is None or not _LETTER.search(t) else list(map(index.__getitem__, t.encode().split())) for t in texts[a : a + 500]]
+                table = np.concatenate([table, word_scores([w.decode() for w in index.fresh], m)])
+                index.fresh = []
+                for x in ids:
+                    if x is None:
+                        out.append((UND, 0.0))
+                        continue
+                    total = table[x].sum(axis=0)
+                    best = int(total.argmax())
+                    out.append((langs[best], float(1 / np.exp(np.minimum(0, total - total[best])).sum())))
                 if len(index) > 400_000:
-                    index, rows = {}, rows[:1]
-                    table, known = np.array(rows), 1
+                    index, table = _Index(), table[:0]
+                    index.fresh = []
             pred, score = zip(*out) if out else ([], [])
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(list(pred), pa.string()), pa.array(list(score), pa.float64())], names=schema.names)
 
