@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/editscan/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     return out

@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id:
     null; repeated rows are packed each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = stage(token_pieces(docs, vocabulary, window, end_id, doc_id, text), "pieces")
+    pieces = stage(token_pieces(docs, vocabulary, window, end_id, doc_id, text), "pieces", "zstd")
     each = stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     segments = spark.createDataFrame(plan(histogram, window), _PLAN)

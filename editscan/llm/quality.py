@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import stage, words_of
 
-P = 5
+P = 4
 _X = [f"x{i}" for i in range(P)]
 #: Least standard deviations: without them statistics that most documents share exactly would reject every other value.
-FLOOR = (0.5, 0.1, 0.5, 0.5, 0.5)
+FLOOR = (0.5, 0.1, 0.5, 0.8)
 
 
 def text_statistics(text: Column) -> list[Column]:
@@ -101,7 +101,7 @@ _D_BINS = 64
 
 
 def minimum_covariance_determinant(vectors: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
-    """Per group g of vectors (g, x0..x4): mean m*, Cholesky factor l* (consistent at the normal)."""
+    """Per group g of vectors (g, x0..x3): mean m*, Cholesky factor l* (consistent at the normal)."""
     # Start 0: medians and median absolute deviations; start 1: spatial signs about the medians.
     long = vectors.select("g", F.posexplode(F.array(*_X)).alias("k", "x"))
     place = lambda df, x, by: _quantile(df.withColumn("bin", F.floor(F.col(x) * 128).cast("long")), by, 0.5)
