@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
-BLOCK_TOKENS = 1 << 20
-KEYS_PER_RANGE = 1 << 22
+BLOCK_TOKENS = 1 << 19
+KEYS_PER_RANGE = 1 << 21
 
 BLOCK_SCHEMA = "block long, n_docs long, n_tokens long, marked_tokens long, marked_docs long, doc_ids array<long>, marks binary, lens binary, ids binary, vocab binary"
 
@@ -87,6 +87,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of a piece's texts stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def release() -> None:
+    """Gives freed memory back: Python workers are used again, and the next stage's may be others."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class _Vocab(dict):
     def __missing__(self, key):
         self[key] = n = len(self)
@@ -101,7 +120,7 @@ def token_blocks(docs: DataFrame, text: str, doc_id: str, mark: F.Column | None
     ``mark`` flags documents (null counts as false), for instance as training documents.
     """
     if not 0 < block_tokens <= BLOCK_TOKENS:
-        raise ValueError("block_tokens must be from 1 to 2^20")
+        raise ValueError("block_tokens must be from 1 to 2^19")
     src = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"), F.coalesce(mark if mark is not None else F.lit(False), F.lit(False)).alias("m"))
     schema = _arrow_schema(docs.sparkSession, BLOCK_SCHEMA)
 
@@ -123,7 +142,7 @@ def token_blocks(docs: DataFrame, text: str, doc_id: str, mark: F.Column | None
             vocab, ids, lens, owners, marks, total = _Vocab(), [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for b in batches:
+        for b in slices(batches):
             for i, t, m in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 w = (t.as_py() or b"").lower().split()
                 ids.append(np.fromiter(map(vocab.__getitem__, w), np.int32, len(w)))
@@ -135,6 +154,7 @@ def token_blocks(docs: DataFrame, text: str, doc_id: str, mark: F.Column | None
                     yield flush()
         if lens:
             yield flush()
+        release()
 
     return src.mapInArrow(run, BLOCK_SCHEMA)
 
@@ -193,6 +213,7 @@ def count_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarra
             cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = [(r, x.block, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             yield rows_to_batch(rows, sent)
+        release()
 
     def total(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, stage, words_of
+from .common import _arrow_schema, release, slices, stage, words_of
 
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -115,7 +115,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         m = Model(**sent.value)
         langs, index = m.langs, _Index()
         index.fresh, table = [], np.zeros((0, len(langs)))
-        for b in batches:
+        for b in slices(batches, 2000):
             out, texts = [], b.column(0).to_pylist()
             for a in range(0, len(texts), 500):
                 ids = [None if not langs or t is None or not _LETTER.search(t) else list(map(index.__getitem__, t.encode().split())) for t in texts[a : a + 500]]
@@ -128,10 +128,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                     total = table[x].sum(axis=0)
                     best = int(total.argmax())
                     out.append((langs[best], float(1 / np.exp(np.minimum(0, total - total[best])).sum())))
-                if len(index) > 400_000:
+                if len(index) > 200_000:
                     index, table = _Index(), table[:0]
                     index.fresh = []
             pred, score = zip(*out) if out else ([], [])
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(list(pred), pa.string()), pa.array(list(score), pa.float64())], names=schema.names)
+        del index, table, m
+        release()
 
     return src.mapInArrow(run, ddl)

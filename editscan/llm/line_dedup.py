@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANK = r"[\x20\x09-\x0D]+"
+from .common import stage
 
 
 def host_of(url: Column) -> Column:
@@ -50,13 +50,16 @@ def drop_site_boilerplate(pages: DataFrame, host: str, text: str, ratio: float =
     counts = marks.groupBy("_h", "page", "line").agg(F.count("*").alias("n")).where(F.col("page") | (F.col("n") >= min_pages))
     hosts = counts.groupBy("_h").agg(F.max(F.when(F.col("page"), F.col("n"))).alias("pages"), F.collect_list(F.when(~F.col("page"), F.struct("line", "n"))).alias("lines"))
     boiler = hosts.select("_h", F.transform(F.filter("lines", lambda x: x["n"] > F.col("pages") * ratio), lambda x: x["line"]).alias("_b")).where(F.size("_b") > 0)
-    out = pages.withColumn("_h", key).join(boiler, "_h", "left")
-    lines = F.split(F.col(text), "\n")
+    # Staged, its size is known: where it is small Spark broadcasts it and the texts stay where they are, else it joins by shuffle.
+    # The given columns travel as one, so that none can clash with those made here.
+    rows = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("row"), key.alias("_h"), F.col(text).alias("_t"))
+    out = rows.join(stage(boiler, "boilerplate"), "_h", "left")
+    lines = F.split("_t", "\n")
     stays = F.filter(lines, lambda x: ~F.array_contains("_b", F.xxhash64(_bare(x))) | (_bare(x) == ""))
     n = lambda c: F.coalesce(F.size(F.filter(c, lambda x: _bare(x) != "")), F.lit(0)).cast("long")
-    hit = F.col("_b").isNotNull()
-    out = out.withColumns({"_s": F.when(hit, F.array_join(stays, "\n")).otherwise(F.col(text))})
-    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n(lines)).cast("long")})
-    out = out.withColumns({"n_dropped": F.when(hit & F.col(text).isNotNull(), F.col("n_lines") - n(F.split("_s", "\n"))).otherwise(0).cast("long")})
-    rest = [c for c in pages.columns if c not in {"n_lines", "n_dropped"}]
-    return out.select(*[F.col("_s").alias(c) if c == text else F.col(c) for c in rest], "n_lines", "n_dropped")
+    hit = F.col("_b").isNotNull() & F.col("_t").isNotNull()
+    out = out.withColumn("_s", F.when(hit, F.array_join(stays, "\n")).otherwise(F.col("_t")))
+    out = out.withColumn("_n", F.when(F.col("_t").isNotNull(), n(lines)).otherwise(0).cast("long"))
+    out = out.withColumn("_d", F.when(hit, F.col("_n") - n(F.split("_s", "\n"))).otherwise(0).cast("long"))
+    rest = [F.col("_s").alias(c) if c == text else F.col("row")[c].alias(c) for c in pages.columns if c not in {"n_lines", "n_dropped"}]
+    return out.select(*rest, F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped"))

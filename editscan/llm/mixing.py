@@ -107,7 +107,8 @@ def mix_sources(docs: DataFrame, quotas: dict, seed: str = "mix", max_repeats: i
     spark = docs.sparkSession
     key = F.sort_array(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>"))))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = docs.withColumns({"_key": key, "_size": F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long"), "_order": order, "_bucket": F.conv(F.substring(order, 1, 3), 16, 10).cast("int")})
+    # The given columns travel as one, so that none can clash with those made here.
+    d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "sources", "size", "doc_id").withColumns({"_key": key, "_size": F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long"), "_order": order, "_bucket": F.conv(F.substring(order, 1, 3), 16, 10).cast("int")})
     sums = d.groupBy("_key", "_bucket").agg(F.sum("_size").alias("n"))
     sums = stage(sums, "sums")
     total = sums.groupBy("_key").agg(F.sum("n").alias("n")).limit(max_patterns + 1).collect()
@@ -123,7 +124,7 @@ def mix_sources(docs: DataFrame, quotas: dict, seed: str = "mix", max_repeats: i
     cross = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(given.withColumnRenamed("_key", "_k"), same).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
     cross = stage(cross.select("_k", "rounds", "rest", F.col("_bucket").alias("cross"), "before"), "rests")
     d = d.join(cross, same, "left")
-    out = [*docs.columns, F.coalesce("repeats", F.lit(0)).cast("int").alias("repeats")]
+    out = [*[F.col("row")[c].alias(c) for c in docs.columns if c != "repeats"], F.coalesce("repeats", F.lit(0)).cast("int").alias("repeats")]
     clear = d.where("_bucket <> cross or cross is null").withColumn("repeats", F.col("rounds") + F.when(F.col("_bucket") < F.col("cross"), 1).otherwise(0))
     running = F.sum("_size").over(Window.partitionBy("_key").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, 0))
     edge = d.where("_bucket = cross").withColumn("repeats", F.col("rounds") + F.when(2 * (F.col("before") + running) - F.col("_size") <= 2 * F.col("rest"), 1).otherwise(0))

@@ -186,6 +186,8 @@ def one_of_each_component(docs: DataFrame, found: DataFrame, doc_id: str = "doc_
     """
     ids = found.groupBy(F.col("doc_id").alias("_d")).agg(F.sum(F.col("is_first").cast("int")).alias("_keep"), F.count("*").alias("_all")).where("_keep < _all")
     # Rows without an entry stay, so only ids that lose a row are looked up.
-    d = docs.join(stage(ids, "losers").hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_d")), "left")
-    some = d.where("_keep > 0").withColumn("_r", F.row_number().over(Window.partitionBy(doc_id).orderBy(*docs.columns))).where("_r <= _keep")
-    return d.where("_all is null").select(*docs.columns).unionByName(some.select(*docs.columns))
+    # The given columns travel as one, so that none can clash with those made here.
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).alias("_i"))
+    d = rows.join(stage(ids, "losers").hint("shuffle_hash"), F.col("_i").eqNullSafe(F.col("_d")), "left")
+    some = d.where("_keep > 0").withColumn("_r", F.row_number().over(Window.partitionBy("_i").orderBy("row"))).where("_r <= _keep")
+    return d.where("_all is null").select("row.*").unionByName(some.select("row.*"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, rows_to_batch, stage
+from .common import _arrow_schema, release, rows_to_batch, slices, stage
 
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, nth long"
 _PLAN = "length long, low long, high long, per long, sequence long, at long"
@@ -82,7 +82,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: i
         from pyspark import TaskContext
 
         encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             rows, size = [], 0
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.array([*encode(t.as_py() or ""), end_id], "<u4")
@@ -95,6 +95,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: i
                     yield rows_to_batch(rows, schema)
                     rows, size = [], 0
             yield rows_to_batch(rows, schema)
+        release()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _PIECES)
 
