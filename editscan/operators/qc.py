@@ -10,10 +10,10 @@ from .fragments import KEY, merged_bases
 
 
 def fragment_stats(reads: DataFrame, ref: DataFrame, min_mapq: int = 20, min_baseq: int = 20) -> DataFrame:
-    """Per fragment: ct, ga, editable (C or G under an A, C, G or T) and mismatches that are no edits."""
-    b = merged_bases(reads, min_mapq, min_baseq).join(ref, ["chrom", "pos"]).where(F.col("base").isin(*BASES))
+    """Per fragment: ct, ga, edits, editable (C or G), aligned bases and mismatches that are no edits; only A, C, G and T count, on both sides."""
+    b = merged_bases(reads, min_mapq, min_baseq).join(ref, ["chrom", "pos"]).where(F.col("base").isin(*BASES) & F.col("ref").isin(*BASES))
     edit = is_edit(F.col("ref"), F.col("base"))
-    return b.groupBy(*KEY).agg(F.count_if(edit & (F.col("ref") == "C")).alias("ct"), F.count_if(edit & (F.col("ref") == "G")).alias("ga"), F.count_if(F.col("ref").isin("C", "G")).alias("editable"), F.count_if((F.col("ref") != F.col("base")) & ~edit).alias("other")).withColumn("edits", F.col("ct") + F.col("ga"))
+    return b.groupBy(*KEY).agg(F.count_if(edit & (F.col("ref") == "C")).alias("ct"), F.count_if(edit & (F.col("ref") == "G")).alias("ga"), F.count_if(F.col("ref").isin("C", "G")).alias("editable"), F.count_if((F.col("ref") != F.col("base")) & ~edit).alias("other"), F.count("*").alias("aligned")).withColumn("edits", F.col("ct") + F.col("ga"))
 
 
 def global_rate(stats: DataFrame) -> DataFrame:

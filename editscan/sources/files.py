@@ -18,3 +18,14 @@ def write(path: str, pieces: Iterable[bytes]) -> None:
     with where.open_output_stream(at, compression=None) as out:
         for piece in pieces:
             out.write(piece)
+
+
+def read(path: str) -> bytes:
+    f, size = opened(path)
+    with f:
+        return f.read(size)
+
+
+def make(folder: str) -> None:
+    where, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    where.create_dir(at, recursive=True)

@@ -67,3 +67,14 @@ def write_fasta(sequences: DataFrame, path: str, width: int = 80) -> None:
 def write_fastq(records: DataFrame, path: str) -> None:
     r = records.orderBy("idx").select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.coalesce("qual", F.expr("repeat('I', length(seq))"))).alias("value"))
     r.write.mode("errorifexists").text(path)
+
+
+def of_regions(pieces: DataFrame, regions: DataFrame, width: int = WIDTH) -> DataFrame:
+    """chrom, start, end, seq of regions within their contigs, put together from the pieces they touch; empty regions drop out."""
+    r = regions.where("start < end").select("chrom", "start", "end", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("chunk"))
+    own = pieces.select("chrom", "chunk", F.substr("seq", (F.col("chunk") * width - F.col("start") + 1).cast("int"), F.lit(width)).alias("own"))
+    a = F.greatest(F.col("start") - F.col("chunk") * width, F.lit(0))
+    z = F.least(F.col("end") - F.col("chunk") * width, F.lit(width))
+    parts = r.join(own, ["chrom", "chunk"]).select("chrom", "start", "end", "chunk", F.substr("own", (a + 1).cast("int"), (z - a).cast("int")).alias("s"))
+    g = parts.groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_set(F.struct("chunk", "s"))).alias("p"))
+    return g.select("chrom", "start", "end", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"))
