@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup_by_source), ("n-gram Jaccard join", near_duplicates), ("mixing", source_mix), ("packing", pack)]
 
-#: Language ID, near-duplicate components and packing by a tokenizer have no form in SQL; tests/llm holds the operators behind the stages against brute force, not yet the stages as wired here.
+#: Language ID, near-duplicate components and packing by a tokenizer have no form in SQL; tests/llm/test_pipeline.py holds each stage as wired here against a brute-force version on its own input.
 ORACLE_SQL = None
 
 
