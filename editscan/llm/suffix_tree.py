@@ -1,12 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to two words. A context is a candidate if it makes up ``context_rate``
-or more of the training tokens, so no depth has more than 1/context_rate candidates at any input
-size; it is retained if the divergence of its next-symbol distribution from its longest retained
-suffix's, estimated with each occurrence left out once, is ``min_divergence`` nats or more.
+States are contexts of up to two words. With n training tokens, a context is a candidate if it
+occurs ``context_scale`` * n^(2/3) times or more, so what a depth holds grows with the corpus and
+no depth has more than n^(1/3) / context_scale candidates; it is retained if the divergence of
+its next-symbol distribution from its longest retained suffix's, estimated with each occurrence
+left out once, is ``min_divergence`` nats or more.
 Next-symbol distributions are discounted counts interpolated with the suffix's; symbols stand
-explicitly if they follow the context at ``entry_rate`` of the training tokens or more (at most
-1/entry_rate entries a depth), else by the suffix alone. The root is the add-one unigram
+explicitly if they follow the context ``entry_scale`` * n^(2/3) times or more (at most
+n^(1/3) / entry_scale entries a depth), else by the suffix alone. The root is the add-one unigram
 distribution over the exact counts of all training words, which is never cut.
 
 A token is scored in the longest state that is a suffix of what precedes it in its document.
@@ -29,7 +30,7 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 @dataclass
 class Tree:
-    """Sorted arrays; bounded by 1/entry_rate entries and 1/context_rate states a depth."""
+    """Sorted arrays; bounded by n^(1/3) / entry_scale entries and n^(1/3) / context_scale states a depth."""
 
     words: np.ndarray  # hashes of words that occur in states or entries
     n: int
@@ -143,7 +144,7 @@ def _next(tree: Tree, depth: int, context: np.ndarray, sym: np.ndarray, below: n
     return np.where(s >= 0, p, below)
 
 
-def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id", text: str = "text", context_rate: float = 1e-4, entry_rate: float = 1e-6, min_divergence: float = 0.01) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id", text: str = "text", context_scale: float = 0.025, entry_scale: float = 2.5e-4, min_divergence: float = 0.01) -> DataFrame:
     """Scores every document with a tree learned from those where ``train`` is true.
 
     Returns one row per input row: doc_id, held_out (not train), n_tokens, n_known,
@@ -156,7 +157,7 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
     blocks = stage(token_blocks(docs, text, doc_id, mark=train), "blocks")
     words, trained, keys = blocks.agg(F.coalesce(F.sum("marked_tokens"), F.lit(0)), F.coalesce(F.sum("marked_docs"), F.lit(0)), F.coalesce(F.sum(F.length("vocab") / 8), F.lit(0)).cast("long")).first()
     n = words + trained
-    floor = max(2, int(np.ceil(entry_rate * n)))
+    floor, often_enough = (max(2, int(np.ceil(c * n ** (2 / 3)))) for c in (entry_scale, context_scale))
 
     def keys_of(x: Block):
         at = np.argsort(x.vocab)
@@ -174,13 +175,13 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
     # Counts as symbols: end follows the words. As contexts: begin has end's place, as often as documents.
     root = _root(tree, np.concatenate([counts[at], [trained]]))
     seen = np.concatenate([counts[at], [trained]])
-    level1 = np.flatnonzero(seen >= max(2, context_rate * n)).astype(np.int64)
+    level1 = np.flatnonzero(seen >= often_enough).astype(np.int64)
 
     send = spark.sparkContext.broadcast
     shared = send(dict(vars(tree)))
     k1, n1 = _count(blocks, shared, send(level1), 1, floor)
     _grow(tree, level1, seen[level1], k1, n1, lambda c, s: root[s], min_divergence)
-    often = (n1 >= max(2, context_rate * n)) & (k1 % tree.width < len(tree.words))
+    often = (n1 >= often_enough) & (k1 % tree.width < len(tree.words))
     level2 = level1[k1[often] // tree.width] * tree.width + k1[often] % tree.width
     by = np.argsort(level2)
     level2, seen2 = level2[by], n1[often][by]
