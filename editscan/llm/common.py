@@ -180,10 +180,10 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.lens)])[:-1]
 
 
-def blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def blocks_in(batches: Iterator[pa.RecordBatch], kind: type[Block] = Block) -> Iterator[Block]:
     for b in batches:
         for k in range(b.num_rows):
-            yield Block({n: b.column(n)[k].as_py() for n in b.schema.names})
+            yield kind({n: b.column(n)[k].as_py() for n in b.schema.names})
 
 
 def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -191,7 +191,7 @@ def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def count_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, floor: int = 0) -> DataFrame:
+def count_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, floor: int = 0, kind: type[Block] = Block, pack_totals: Callable[[np.ndarray], bytes] = pack) -> DataFrame:
     """Totals per key over all blocks, returned to every block that holds the key.
 
     ``keys_of`` gives a block's distinct uint64 keys, ascending, with its counts. Key ranges
@@ -208,7 +208,7 @@ def count_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarra
     sent, out = _arrow_schema(spark, sent_ddl), _arrow_schema(spark, out_ddl)
 
     def send(batches):
-        for x in blocks_in(batches):
+        for x in blocks_in(batches, kind):
             keys, counts = keys_of(x)
             cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = [(r, x.block, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
@@ -225,7 +225,7 @@ def count_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarra
         np.add.at(sums, inv, counts)
         each, at, rows, r = sums[inv], 0, [], table.column("range")[0].as_py()
         for name, k in zip(names, keys):
-            rows.append((r, name, pack(each[at : at + len(k)]), None, None, None))
+            rows.append((r, name, pack_totals(each[at : at + len(k)]), None, None, None))
             at += len(k)
         top = sums >= floor if floor else np.zeros(len(sums), bool)
         rows.append((r, -1, None, int((sums > 0).sum()), pack(uniq[top]), pack(sums[top])))

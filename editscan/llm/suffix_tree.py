@@ -1,150 +1,131 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to two words. With n training tokens, a context is a candidate if it
-occurs ``context_scale`` * n^(2/3) times or more, so what a depth holds grows with the corpus and
-no depth has more than n^(1/3) / context_scale candidates; it is retained if the divergence of
-its next-symbol distribution from its longest retained suffix's, estimated with each occurrence
-left out once, is ``min_divergence`` nats or more.
-Next-symbol distributions are discounted counts interpolated with the suffix's; symbols stand
-explicitly if they follow the context ``entry_scale`` * n^(2/3) times or more (at most
-n^(1/3) / entry_scale entries a depth), else by the suffix alone. The root is the add-one unigram
-distribution over the exact counts of all training words, which is never cut.
+States are contexts of up to ``max_depth`` words, the begin of a document included. A context is
+a candidate if it occurs ``min_count`` times or more in training, at any size of corpus; it is
+retained if the log-likelihood of what follows it, each occurrence left out once, exceeds that
+under its longest retained suffix by ``min_divergence`` nats a token or more.
+A state's next-symbol distribution is (count + strength * p) / (occurrences + strength), with p
+its suffix's; no count is cut. The root is the add-one unigram distribution over all training words.
 
 A token is scored in the longest state that is a suffix of what precedes it in its document.
+
+Contexts, symbols and verdicts never come together anywhere: each depth's counts and verdicts are
+tables dealt by key ranges and joined back to the token blocks, which carry the counts and
+verdicts of the depths so far and make each token's probability of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import gc
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, _arrow_schema, blocks_in, count_exchange, pack, rows_to_batch, stage, token_blocks, totals_of, unpack
+from .common import BLOCK_SCHEMA, KEYS_PER_RANGE, Block, _arrow_schema, blocks_in, count_exchange, mix64, pack, release, rows_to_batch, stage, token_blocks, totals_of, unpack, unstage
 
-DISCOUNT = 0.75
+BEGIN, END, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_STATE = BLOCK_SCHEMA + ", uni binary, counts array<binary>, keeps array<binary>, n_next long"
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Counts packed byte plane by byte plane: most are small."""
+    return pack(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
 
+def _unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+class State(Block):
+    """A token block with the counts and verdicts of each depth, per token (ends of documents included).
+
+    ns[d] are the training counts of (context of d words, token), 0 where the context is no
+    candidate; keeps[d - 1] flags the tokens whose context of d words is a state.
+    """
 
-@dataclass
-class Tree:
-    """Sorted arrays; bounded by n^(1/3) / entry_scale entries and n^(1/3) / context_scale states a depth."""
-
-    words: np.ndarray  # hashes of words that occur in states or entries
-    n: int
-    v: int
-    end: int
-    states: list[np.ndarray]  # per depth: keys of retained contexts
-    back: list[np.ndarray]  # weight of the suffix's distribution
-    entries: list[np.ndarray]  # per depth: state * width + symbol
-    mass: list[np.ndarray]
-
-    @property
-    def width(self) -> int:
-        """Symbols: the words, then end, then any other word; contexts: begin stands at end's place."""
-        return len(self.words) + 2
-
-
-def _symbols(x: Block, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token, the end of each document included: its symbol, the one and two before it, and its document."""
-    k = len(tree.words)
-    at = np.searchsorted(tree.words, x.vocab)
-    known = np.full(len(x.vocab), k + 1, np.int64)
-    hit = at < k
-    hit[hit] = tree.words[at[hit]] == x.vocab[hit]
-    known[hit] = at[hit]
-    lens = x.lens + 1
-    ends = np.cumsum(lens) - 1
-    sym = np.empty(int(lens.sum()), np.int64)
-    is_end = np.zeros(len(sym), bool)
-    is_end[ends] = True
-    sym[is_end], sym[~is_end] = k, known[x.ids]
-    first = ends - x.lens
-    prev = np.concatenate([[k], sym[:-1]])[: len(sym)]
-    prev[first] = k
-    prev2 = np.concatenate([[k + 1], prev[:-1]])[: len(sym)]
-    prev2[first] = k + 1
-    return sym, prev, prev2, is_end
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _count(blocks: DataFrame, tree, contexts, depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts of (context, symbol) of at least ``least``: sorted keys and counts."""
-    ddl = "k long, n long"
-    schema = _arrow_schema(blocks.sparkSession, ddl)
-
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            return keys, n
-
-        for x in blocks_in(batches):
-            t, ctx = Tree(**tree.value), contexts.value
-            sym, prev, prev2, _ = _symbols(x, t)
-            train = np.repeat(x.marks, x.lens + 1)
-            c = _find(ctx, prev if depth == 1 else prev2 * t.width + prev)
-            use = train & (c >= 0) & (sym <= len(t.words))
-            got = np.unique(c[use] * t.width + sym[use], return_counts=True)
-            held.append(got)
-            size += len(got[0])
-            if size > 4_000_000:
-                held = [flush()]
-                size = len(held[0][0])
-                if size > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in held[0]], schema=schema)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in flush()], schema=schema)
-
-    got = blocks.where("marked_docs > 0").mapInArrow(run, ddl).groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    k, n = got.column("k").to_numpy(), got.column("n").to_numpy()
-    at = np.argsort(k)
-    return k[at], n[at]
-
-
-def _root(tree: Tree, counts: np.ndarray) -> np.ndarray:
-    return (counts + 1) / (tree.n + tree.v + 1)
-
-
-def _grow(tree: Tree, contexts: np.ndarray, seen: np.ndarray, keys: np.ndarray, counts: np.ndarray, below, min_divergence: float) -> None:
-    """Adds a depth: tests each context's distribution against ``below``, its suffix's."""
-    state, sym = keys // tree.width, keys % tree.width
-    n, total = counts.astype(float), seen[state].astype(float)
-    sums = lambda w: np.bincount(state, weights=w, minlength=len(contexts))
-    parent = below(contexts[state], sym)
-    back = 1 - sums(n - DISCOUNT) / np.maximum(seen, 1)
-    left_out = np.maximum(n - 1 - DISCOUNT, 0) / np.maximum(total - 1, 1) + back[state] * parent
-    gain = sums(n * np.log(left_out / parent)) + (seen - sums(n)) * np.log(np.maximum(back, 1e-12))
-    keep = gain / np.maximum(seen, 1) >= min_divergence
-    place = np.cumsum(keep) - 1
-    ok = keep[state]
-    tree.states.append(contexts[keep])
-    tree.back.append(back[keep])
-    tree.entries.append(place[state[ok]] * tree.width + sym[ok])
-    tree.mass.append((n[ok] - DISCOUNT) / total[ok])
-
-
-def _next(tree: Tree, depth: int, context: np.ndarray, sym: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Probabilities at a depth, given those of the suffix; tokens whose context is no state keep theirs."""
-    s = _find(tree.states[depth - 1], context)
-    e = _find(tree.entries[depth - 1], s * tree.width + sym)
-    own = tree.mass[depth - 1][e] if len(tree.mass[depth - 1]) else np.zeros(len(e))
-    p = np.where(e >= 0, own, 0.0) + (tree.back[depth - 1][s] if len(tree.back[depth - 1]) else 1.0) * below
-    return np.where(s >= 0, p, below)
-
-
-def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id", text: str = "text", context_scale: float = 0.025, entry_scale: float = 2.5e-4, min_divergence: float = 0.01) -> DataFrame:
+    def __init__(self, row: dict):
+        super().__init__(row)
+        lens = self.lens + 1
+        ends = np.cumsum(lens) - 1
+        self.row, self.size = row, int(lens.sum())
+        self.is_end = np.zeros(self.size, bool)
+        self.is_end[ends] = True
+        self.sym = np.full(self.size, END)
+        self.sym[~self.is_end] = self.vocab[self.ids]
+        self.at = np.arange(self.size) - np.repeat(ends - self.lens, lens)
+        self.train = np.repeat(self.marks, lens)
+        self.doc = np.repeat(np.arange(len(lens)), lens)
+        if "uni" in row:
+            own = np.zeros(self.size, np.int64)
+            own[~self.is_end] = unpack(row["uni"], np.uint32)[self.ids]
+            self.ns = [own, *map(_unplanes, row["counts"])]
+            self.keeps = [np.unpackbits(unpack(b, np.uint8), count=self.size).astype(bool) for b in row["keeps"]]
+
+    def seen(self, depth: int, trained: int) -> np.ndarray:
+        """Training counts of each token's context of ``depth`` words."""
+        seen = np.zeros(self.size, np.int64)
+        seen[1:] = self.ns[depth - 1][:-1]
+        seen[self.at < max(depth - 1, 1)] = 0
+        if depth == 1:
+            seen[self.at == 0] = trained
+        return seen
+
+    def contexts(self, depth: int, trained: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens after candidates of ``depth`` words, the candidates' hashes and training counts."""
+        seen = self.seen(depth, trained)
+        use = np.flatnonzero(seen >= least)
+        at, h = self.at[use], np.zeros(len(use), np.uint64)
+        for j in range(1, depth + 1):
+            h = mix64(h * STEP + np.where(at >= j, self.sym[use - j], BEGIN))
+        return use, h, seen[use]
+
+    def grams(self, use: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return mix64((h ^ END) * STEP + self.sym[use])
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=w, minlength=len(self.lens))
+
+
+def _verdicts(states: DataFrame, gains_of, n_keys: int) -> DataFrame:
+    """Per block, packed flags in its key order of whether each key's gains over all blocks reach 0; as count_exchange."""
+    spark = states.sparkSession
+    ranges = max(1, math.ceil(n_keys / KEYS_PER_RANGE))
+    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    sent_ddl, out_ddl = "range long, block long, keys binary, gains binary", "range long, block long, totals binary"
+    sent, out = _arrow_schema(spark, sent_ddl), _arrow_schema(spark, out_ddl)
+
+    def send(batches):
+        for x in blocks_in(batches, State):
+            keys, gains = gains_of(x)
+            cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            yield rows_to_batch([(r, x.block, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(gains[a:b])) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a], sent)
+        release()
+
+    def total(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        keys = [np.cumsum(unpack(b.as_py(), np.uint64), dtype=np.uint64) for b in table.column("keys")]
+        uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        keep = (np.bincount(inv, weights=np.concatenate([unpack(b.as_py(), np.float64) for b in table.column("gains")]), minlength=len(uniq)) >= 0)[inv].astype(np.uint8)
+        at, rows, r = 0, [], table.column("range")[0].as_py()
+        for name, k in zip(table.column("block").to_pylist(), keys):
+            rows.append((r, name, pack(keep[at : at + len(k)])))
+            at += len(k)
+        return pa.Table.from_batches([rows_to_batch(rows, out)])
+
+    return states.mapInArrow(send, sent_ddl).groupBy("range").applyInArrow(total, out_ddl)
+
+
+def _totals_of(table: pa.Table, read) -> np.ndarray:
+    got = sorted(zip(table.column("range").to_pylist(), table.column("totals").to_pylist()))
+    return np.concatenate([read(b) for _, b in got]) if got else np.empty(0, np.uint8)
+
+
+def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id", text: str = "text", max_depth: int = 3, min_count: int = 2, strength: float = 2.0, min_divergence: float = 0.01) -> DataFrame:
     """Scores every document with a tree learned from those where ``train`` is true.
 
     Returns one row per input row: doc_id, held_out (not train), n_tokens, n_known,
@@ -153,60 +134,125 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
     flag being null, counts as not train); repeated rows each count and are each scored; with
     no training document all words are unseen and both scores agree. Other columns are ignored.
     """
+    if max_depth < 1 or min_count < 2:
+        raise ValueError("max_depth must be 1 or more and min_count 2 or more")
     spark = docs.sparkSession
     blocks = stage(token_blocks(docs, text, doc_id, mark=train), "blocks")
     words, trained, keys = blocks.agg(F.coalesce(F.sum("marked_tokens"), F.lit(0)), F.coalesce(F.sum("marked_docs"), F.lit(0)), F.coalesce(F.sum(F.length("vocab") / 8), F.lit(0)).cast("long")).first()
     n = words + trained
-    floor, often_enough = (max(2, int(np.ceil(c * n ** (2 / 3)))) for c in (entry_scale, context_scale))
 
     def keys_of(x: Block):
         at = np.argsort(x.vocab)
         counts = np.bincount(x.ids[np.repeat(x.marks, x.lens)], minlength=len(x.vocab))
         return x.vocab[at], counts[at]
 
-    got = stage(count_exchange(blocks, keys_of, keys, floor), "counts")
-    tops = got.where("block = -1").select("n_pos", "top_keys", "top_totals").toArrow()
-    uniq = [unpack(b.as_py(), np.uint64) for b in tops.column("top_keys")]
-    freq = [unpack(b.as_py(), np.int64) for b in tops.column("top_totals")]
-    hashes, counts = (np.concatenate(uniq), np.concatenate(freq)) if uniq else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    at = np.argsort(hashes)
-    v = sum(tops.column("n_pos").to_pylist()) + (trained > 0)
-    tree = Tree(hashes[at], n, v, trained, [], [], [], [])
-    # Counts as symbols: end follows the words. As contexts: begin has end's place, as often as documents.
-    root = _root(tree, np.concatenate([counts[at], [trained]]))
-    seen = np.concatenate([counts[at], [trained]])
-    level1 = np.flatnonzero(seen >= often_enough).astype(np.int64)
-
-    send = spark.sparkContext.broadcast
-    shared = send(dict(vars(tree)))
-    k1, n1 = _count(blocks, shared, send(level1), 1, floor)
-    _grow(tree, level1, seen[level1], k1, n1, lambda c, s: root[s], min_divergence)
-    often = (n1 >= often_enough) & (k1 % tree.width < len(tree.words))
-    level2 = level1[k1[often] // tree.width] * tree.width + k1[often] % tree.width
-    by = np.argsort(level2)
-    level2, seen2 = level2[by], n1[often][by]
-    k2, n2 = _count(blocks, shared, send(level2), 2, floor)
-    _grow(tree, level2, seen2, k2, n2, lambda c, s: _next(tree, 1, c % tree.width, s, root[s]), min_divergence)
-
-    grown = send(dict(vars(tree)))
-    schema = _arrow_schema(spark, _OUT)
-
-    def score(blocks_: pa.Table, totals: pa.Table) -> pa.Table:
-        t, out = Tree(**grown.value), []
-        for r in range(blocks_.num_rows):
-            x = Block({c: blocks_.column(c)[r].as_py() for c in blocks_.schema.names})
-            counts = np.empty(len(x.vocab), np.int64)
-            counts[np.argsort(x.vocab)] = totals_of(totals)
-            sym, prev, prev2, is_end = _symbols(x, t)
-            c = np.empty(len(sym), np.int64)
-            c[is_end], c[~is_end] = t.end, counts[x.ids]
-            base = _root(t, c)
-            p = _next(t, 1, prev, sym, base)
-            p = _next(t, 2, prev2 * t.width + prev, sym, p)
-            doc = np.repeat(np.arange(len(x.lens)), x.lens + 1)
-            add = lambda w: np.bincount(doc, weights=w, minlength=len(x.lens))
-            cols = [x.doc_ids, ~x.marks, x.lens + 1, add(c > 0).astype(np.int64), np.full(len(x.lens), t.n), add(np.log10(base)), add(np.log10(p))]
-            out.append(pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(cols, schema)], schema=schema))
-        return pa.Table.from_batches(out, schema=schema)
-
-    return blocks.groupBy("block").cogroup(got.where("block >= 0").groupBy("block")).applyInArrow(score, _OUT)
+    got = stage(count_exchange(blocks, keys_of, keys), "counts")
+    v = (got.where("block = -1").agg(F.sum("n_pos")).first()[0] or 0) + (trained > 0)
+    names = [f.strip().split(" ")[0] for f in _STATE.split(", ")]
+    schema, out = _arrow_schema(spark, _STATE), _arrow_schema(spark, _OUT)
+
+    def made(x: State) -> pa.RecordBatch:
+        row = x.row | {"n_next": int((x.seen(len(x.ns), trained) >= min_count).sum())}
+        return rows_to_batch([tuple(row[c] for c in names)], schema)
+
+    def chances(x: State) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's training count, and its probability by the states of the depths judged so far."""
+        c = np.where(x.is_end, trained, x.ns[0])
+        p = (c + 1) / (n + v + 1)
+        for d, keep in enumerate(x.keeps, 1):
+            p[keep] = (x.ns[d][keep] + strength * p[keep]) / (x.seen(d, trained)[keep] + strength)
+        return c, p
+
+    def rows_of(table: pa.Table):
+        for r in range(table.num_rows):
+            yield {c: table.column(c)[r].as_py() for c in table.schema.names}
+
+    def root(table: pa.Table, totals: pa.Table) -> pa.Table:
+        made_ = []
+        for row in rows_of(table):
+            known = np.empty(len(row["vocab"]) // 8, np.uint32)
+            known[np.argsort(np.frombuffer(row["vocab"], np.uint64))] = totals_of(totals)
+            made_.append(made(State(row | {"uni": pack(known), "counts": [], "keeps": []})))
+        return pa.Table.from_batches(made_, schema=schema)
+
+    def left_out(x: State, depth: int):
+        use, h, seen = x.contexts(depth, trained, min_count)
+        p = chances(x)[1][use]
+        uniq, inv = np.unique(h, return_inverse=True)
+        gain = np.log((np.maximum(x.ns[depth][use].astype(float) - 1, 0) + strength * p) / ((seen - 1 + strength) * p)) - min_divergence
+        return uniq, np.bincount(inv, weights=np.where(x.train[use], gain, 0.0), minlength=len(uniq))
+
+    def counted(x: State, depth: int):
+        use, h, _ = x.contexts(depth, trained, min_count)
+        uniq, inv = np.unique(x.grams(use, h), return_inverse=True)
+        return uniq, np.bincount(inv, weights=x.train[use], minlength=len(uniq)).astype(np.int64)
+
+    def judged(x: State, totals: pa.Table, depth: int) -> np.ndarray:
+        """Whether each token's context of ``depth`` words is a state."""
+        use, h, _ = x.contexts(depth, trained, min_count)
+        keep = np.zeros(x.size, bool)
+        keep[use] = _totals_of(totals, lambda b: unpack(b, np.uint8)).astype(bool)[np.unique(h, return_inverse=True)[1]]
+        return keep
+
+    def of(totals: pa.Table, kind: int) -> pa.Table:
+        return totals.filter(pc.equal(totals.column("kind"), kind))
+
+    def next_depth(depth: int):
+        def run(table: pa.Table, totals: pa.Table) -> pa.Table:
+            made_ = []
+            for row in rows_of(table):
+                x = State(row)
+                keeps = [*row["keeps"], pack(np.packbits(judged(x, of(totals, 1), depth - 1)))] if depth > 1 else []
+                use, h, _ = x.contexts(depth, trained, min_count)
+                counts = np.zeros(x.size, np.uint32)
+                counts[use] = _totals_of(of(totals, 0), _unplanes)[np.unique(x.grams(use, h), return_inverse=True)[1]]
+                x.row, x.ns = row | {"counts": [*row["counts"], _planes(counts)], "keeps": keeps}, [*x.ns, counts]
+                made_.append(made(x))
+            return pa.Table.from_batches(made_, schema=schema)
+
+        return run
+
+    def scored(depth: int):
+        def run(table: pa.Table, totals: pa.Table) -> pa.Table:
+            made_ = []
+            for row in rows_of(table):
+                x = State(row)
+                if depth:
+                    x.keeps.append(judged(x, totals, depth))
+                known, p = chances(x)
+                base = np.log10((known + 1) / (n + v + 1))
+                cols = [x.doc_ids, ~x.marks, x.lens + 1, x.sums(known > 0).astype(np.int64), np.full(len(x.lens), n), x.sums(base), x.sums(np.log10(p))]
+                made_.append(pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(cols, out)], schema=out))
+            return pa.Table.from_batches(made_, schema=out)
+
+        return run
+
+    def followers(s: DataFrame) -> int:
+        return s.agg(F.coalesce(F.sum("n_next"), F.lit(0))).first()[0]
+
+    def drop(*old: DataFrame) -> None:
+        """Deletes staged tables; Spark deletes the shuffles of plans that are collected, the last job's not among them."""
+        for df in old:
+            unstage(df)
+        spark.range(1).count()
+        gc.collect()
+        spark._jvm.System.gc()
+
+    def verdicts(s: DataFrame, depth: int, now: int) -> DataFrame:
+        return _verdicts(s, lambda x: left_out(x, depth), now).withColumn("kind", F.lit(1))
+
+    cur = stage(blocks.groupBy("block").cogroup(got.where("block >= 0").groupBy("block")).applyInArrow(root, _STATE), "states")
+    depth, now, more = 0, 0, followers(cur)
+    drop(blocks, got)
+    while depth < max_depth and more:
+        totals = count_exchange(cur, lambda x, d=depth + 1: counted(x, d), more, kind=State, pack_totals=_planes).where("block >= 0").select("range", "block", "totals", F.lit(0).alias("kind"))
+        if depth:
+            totals = totals.unionByName(verdicts(cur, depth, now))
+        depth += 1
+        totals = stage(totals, "totals")
+        drop()
+        before, cur = cur, stage(cur.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(next_depth(depth), _STATE), "states")
+        now, more = more, followers(cur)
+        drop(before, totals)
+    last = verdicts(cur, depth, now) if depth else cur.select(F.lit(0).cast("long").alias("range"), "block", F.lit(None).cast("binary").alias("totals"), F.lit(1).alias("kind")).limit(0)
+    return cur.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(scored(depth), _OUT)
