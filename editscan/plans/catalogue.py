@@ -378,7 +378,7 @@ def footprint_pvalue(s, d):
 
 @query()
 def footprint_pvalue_seeded(s, d):
-    return footprint.exact_p_values(_foot(s, d), 200)
+    return footprint.exact_p_values(_foot(s, d), 1000)
 
 
 _TILES = f"WITH {_S}, tl AS (SELECT DISTINCT chrom, a + 32*i AS a FROM rg, generate_series(0, 20) u(i) WHERE a + 32*i + 64 <= z)"

@@ -44,3 +44,8 @@ def test_p_values(spark, many):
             hits += total([v[x] for x in order], n) >= got
         want[s] = (hits + 1) / 51 if got > 0 else 1.0
     assert {r["site_id"]: r["p_value"] for r in QUERIES["footprint_pvalue"](spark, many).collect()} == pytest.approx(want)
+
+
+def test_seeded_p_values_use_1000_shuffles(spark, many):
+    p = [r["p_value"] for r in QUERIES["footprint_pvalue_seeded"](spark, many).collect()]
+    assert all(abs(x * 1001 - round(x * 1001)) < 1e-6 for x in p) and any(abs(x * 201 - round(x * 201)) > 1e-6 for x in p)
