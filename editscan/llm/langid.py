@@ -40,7 +40,9 @@ class Model:
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_docs: int = 8000, max_langs: int = 200, max_words: int = 100_000, max_grams: int = 50_000, longest: int = 4) -> Model:
     """Learns from rows with a language. The sample takes about ``max_docs`` documents of each language, by hash of id."""
     src = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)).alias("h"))
-    n = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    n = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs + 1).collect()}
+    if len(n) > max_langs:
+        raise ValueError(f"more than {max_langs} languages; raise max_langs, none is left out")
     langs = sorted(n)
     if not langs:
         return Model([], {}, np.empty((0, 0)), {}, np.empty((0, 0)), longest)
