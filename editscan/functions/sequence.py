@@ -70,6 +70,19 @@ def aligned_pairs(cigar: Column) -> Column:
     return F.when(n > 0, simple).otherwise(general)
 
 
+def cigar_blocks(cigar: Column) -> Column:
+    """array<struct<op, n, q, r, j>>: each operation with the query, reference and aligned (M, =, X) bases before it."""
+    empty = F.array().cast("array<struct<op:string,n:bigint,q:bigint,r:bigint,j:bigint>>")
+    zero = F.lit(0).cast("bigint")
+
+    def step(acc, x):
+        add = lambda kinds: F.when(F.contains(F.lit(kinds), x["op"]), x["n"]).otherwise(0)
+        here = F.struct(x["op"].alias("op"), x["n"].alias("n"), acc["q"].alias("q"), acc["r"].alias("r"), acc["j"].alias("j"))
+        return F.struct((acc["q"] + add("MIS=X")).alias("q"), (acc["r"] + add("MDN=X")).alias("r"), (acc["j"] + add("M=X")).alias("j"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    return F.aggregate(cigar_ops(cigar), F.struct(zero.alias("q"), zero.alias("r"), zero.alias("j"), empty.alias("out")), step)["out"]
+
+
 def one_hot(seq: Column) -> Column:
     """A row of four per base in the order A, C, G, T; any other base is all zero."""
     return F.transform(F.filter(F.split(F.upper(seq), ""), lambda b: b != ""), lambda b: F.array(*[(b == x).cast("int") for x in BASES]))

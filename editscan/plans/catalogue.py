@@ -355,7 +355,7 @@ def tss_score(s, d):
     return longs(profile.anchor_score(profile.anchor_profile(synth.reads(s, d), synth.anchors(s, d), synth.sizes(s), 500)))
 
 
-_FOOT = f"""WITH {_R}, {_S}, si AS (SELECT s site_id, 'chr' || (s % 4 + 1) chrom, (s*733) % 19990 a, 5 + s % 10 l FROM s WHERE s <= 200), c AS ({_CUT.format('- 5', '+ 4')}), t AS (SELECT chrom, p, count(*) v FROM c WHERE p BETWEEN 0 AND 19999 GROUP BY ALL),
+_FOOT = f"""WITH {_R}, {_S}, si AS (SELECT s site_id, 'chr' || (s % 4 + 1) chrom, (s*733) % 19990 a, 5 + s % 10 l FROM s), c AS ({_CUT.format('- 5', '+ 4')}), t AS (SELECT chrom, p, count(*) v FROM c WHERE p BETWEEN 0 AND 19999 GROUP BY ALL),
 w AS (SELECT site_id, l, x, coalesce(v, 0) v FROM (SELECT *, unnest(range(0, 3*l)) x FROM si WHERE a - l >= 0 AND a + 2*l <= 20000) q LEFT JOIN t ON t.chrom = q.chrom AND t.p = a - l + x),
 sc AS (SELECT site_id, l, CAST(sum(CASE WHEN x // l = 1 THEN -v ELSE v END) AS BIGINT) total FROM w GROUP BY ALL)"""
 
@@ -443,9 +443,10 @@ def motif_scan(s, d):
 # --- candidates
 
 _FLG = "(flag | CASE WHEN (ok*3 + ln + c) % 29 = 0 THEN 4 ELSE 0 END | CASE WHEN (ok*5 + ln + c) % 19 = 0 THEN 256 ELSE 0 END)"
-_CAND = f"""WITH {_R}, cr AS (SELECT qname, CASE c WHEN 0 THEN 'f' ELSE 'r' END candidate, file_ord*2 + c fo, {_FLG} fl, chrom, pos + CASE WHEN ok % 3 = 0 THEN c*7 ELSE 0 END ps, mapq, (ok*ln*13 + c*((ok % 5)*3)) % 41 sc FROM r, generate_series(0, 1) u(c)),
-cs AS (SELECT qname, candidate, CAST(sum(CASE WHEN fl & 4 > 0 THEN -1 ELSE sc END) AS BIGINT) score, min(fo) first_ord, min(mapq) mapq, string_agg((fl & 192) || ':' || chrom || ':' || ps || ':' || (fl & 16), ';' ORDER BY fl & 192, ps) pl FROM cr WHERE fl & 2304 = 0 GROUP BY ALL),
-bs AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY qname ORDER BY score DESC, first_ord) = 1)"""
+_CAND = f"""WITH {_R}, cr AS (SELECT qname, CASE c WHEN 0 THEN 'f' ELSE 'r' END candidate, file_ord*2 + c fo, {_FLG} fl, CASE WHEN (ok // 4 + c) % 2 = 0 THEN 'f' ELSE 'r' END || chrom contig, pos + CASE WHEN ok % 3 = 0 THEN c*7 ELSE 0 END ps, mapq, (ok*ln*13 + c*((ok % 5)*3)) % 41 sc FROM r, generate_series(0, 1) u(c)),
+cs AS (SELECT qname, candidate, CAST(coalesce(sum(CASE WHEN fl & 4 > 0 THEN -1 ELSE sc END) FILTER (fl & 2304 = 0), 0) AS BIGINT) score, min(fo) first_ord, coalesce(string_agg((fl & 192) || ':' || substr(contig, 2) || ':' || ps || ':' || (fl & 16), ';' ORDER BY fl & 192, ps) FILTER (fl & 2308 = 0), '') pl FROM cr GROUP BY ALL),
+bs AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY qname ORDER BY score DESC, first_ord) = 1),
+cap AS (SELECT bs.qname, bs.candidate, CASE WHEN max(cs.score) IS NOT NULL THEN greatest(bs.score - max(cs.score), 0) END lead FROM bs LEFT JOIN cs ON cs.qname = bs.qname AND cs.candidate <> bs.candidate AND cs.pl <> '' AND cs.pl <> bs.pl GROUP BY bs.qname, bs.candidate, bs.score)"""
 
 
 def _scores(s, d):
@@ -462,9 +463,10 @@ def candidate_best(s, d):
     return candidates.best_candidates(_scores(s, d)).select("qname", "candidate", "score")
 
 
-@query(_CAND + " SELECT bs.qname, bs.candidate, bs.score, CAST(CASE WHEN max(cs.score) IS NULL THEN bs.mapq ELSE least(bs.mapq, greatest(bs.score - max(cs.score), 0)) END AS BIGINT) mapq FROM bs LEFT JOIN cs ON cs.qname = bs.qname AND cs.candidate <> bs.candidate AND cs.pl <> bs.pl GROUP BY bs.qname, bs.candidate, bs.score, bs.mapq")
+@query(_CAND + " SELECT fo AS file_ord, qname, candidate, CAST(CASE WHEN lead IS NULL THEN mapq ELSE least(mapq, lead) END AS BIGINT) mapq FROM cr JOIN cap USING (qname, candidate)")
 def candidate_mapq_cap(s, d):
-    return candidates.capped_mapq(_scores(s, d))
+    r = synth.candidate_records(s, d)
+    return longs(candidates.capped_mapq(r, candidates.best_candidates(candidates.candidate_scores(r))).select("file_ord", "qname", "candidate", "mapq"))
 
 
 def _fastq(s, d):
@@ -485,27 +487,29 @@ def restore_sequence(s, d):
     return candidates.restored(r).select("file_ord", "seq")
 
 
-def _aligned(s, d):
-    r = synth.reads(s, d, varied=True)
-    b = r.select("file_ord", "chrom", F.col("pos").alias("p0"), "seq", F.explode(fx.aligned_pairs(F.col("cigar"))).alias("a")).select("file_ord", "chrom", (F.col("p0") + F.col("a.r")).alias("pos"), F.substr("seq", F.col("a.q").cast("int") + 1, F.lit(1)).alias("base"))
-    return r, b.join(synth.reference_bases(s), ["chrom", "pos"])
+def _reference_tags(s, d):
+    return candidates.reference_tags(synth.reads(s, d, varied=True), synth.chunks(s), ["file_ord"])
 
 
-@query(f"""WITH {_FQ}, vv AS (SELECT v.file_ord, v.ch, v.pos, v.cg, fq.seq FROM v JOIN fq ON v.file_ord = fq.file_ord),
-al AS (SELECT file_ord, cg, ch, pos + i p, substr(seq, CAST(1 + CASE cg WHEN 2 THEN i + 5 WHEN 3 THEN CASE WHEN i < 20 THEN i ELSE i - 2 END WHEN 4 THEN CASE WHEN i < 18 THEN i ELSE i + 2 END ELSE i END AS INT), 1) base FROM vv, generate_series(0, 41) h(i) WHERE CASE cg WHEN 2 THEN i < 35 WHEN 3 THEN i < 20 OR i BETWEEN 22 AND 41 WHEN 4 THEN i < 38 ELSE i < 40 END),
-ar AS (SELECT *, {_REF} rb FROM al)
-SELECT file_ord, CAST(count(*) FILTER (base <> rb) + CASE WHEN any_value(cg) IN (3, 4) THEN 2 ELSE 0 END AS BIGINT) nm, count(*) FILTER (rb = 'C' AND base = 'T') zc, count(*) FILTER (rb = 'G' AND base = 'A') zg FROM ar GROUP BY file_ord""")
+_AR = f"""WITH {_FQ}, vv AS (SELECT v.file_ord, v.ch, v.pos, v.cg, fq.seq FROM v JOIN fq ON v.file_ord = fq.file_ord),
+al AS (SELECT file_ord, cg, ch, pos, i, pos + i p, substr(seq, CAST(1 + CASE cg WHEN 2 THEN i + 5 WHEN 3 THEN CASE WHEN i < 20 THEN i ELSE i - 2 END WHEN 4 THEN CASE WHEN i < 18 THEN i ELSE i + 2 END ELSE i END AS INT), 1) base FROM vv, generate_series(0, 41) h(i) WHERE CASE cg WHEN 2 THEN i < 35 WHEN 3 THEN i < 20 OR i BETWEEN 22 AND 41 WHEN 4 THEN i < 38 ELSE i < 40 END),
+ar AS (SELECT *, {_REF} rb FROM al)"""
+
+
+@query(_AR + " SELECT file_ord, CAST(count(*) FILTER (base <> rb) + CASE WHEN any_value(cg) IN (3, 4) THEN 2 ELSE 0 END AS BIGINT) nm, count(*) FILTER (rb = 'C' AND base = 'T') zc, count(*) FILTER (rb = 'G' AND base = 'A') zg FROM ar GROUP BY file_ord")
 def conversion_counts(s, d):
-    r, b = _aligned(s, d)
-    return candidates.conversion_counts(b, r.select("file_ord", fx.cigar_sum(F.col("cigar"), "ID").alias("indel")))
+    return _reference_tags(s, d).select("file_ord", "nm", "zc", "zg")
 
 
-@query()
+# What md lists: mismatches, and the two deleted bases where 20 are aligned; x is what stands aligned up to and with it.
+@query(_AR + f""", dl AS (SELECT DISTINCT file_ord, ch, pos + k p, k FROM al, generate_series(20, 21) u(k) WHERE cg = 3),
+ev AS (SELECT file_ord, CASE WHEN cg = 3 AND i > 20 THEN i - 2 ELSE i END j, 1 x, rb s FROM ar WHERE base <> rb UNION ALL SELECT file_ord, 20, 0, '^' || string_agg({_REF}, '' ORDER BY k) FROM dl GROUP BY file_ord),
+ru AS (SELECT *, j - coalesce(lag(j + x) OVER (PARTITION BY file_ord ORDER BY j, x), 0) run FROM ev),
+to_ AS (SELECT file_ord, count(*) n FROM ar GROUP BY file_ord),
+sm AS (SELECT file_ord, string_agg(CAST(run AS BIGINT) || s, '' ORDER BY j, x) md, max(j + x) upto FROM ru GROUP BY file_ord)
+SELECT to_.file_ord, coalesce(md, '') || CAST(n - coalesce(upto, 0) AS BIGINT) AS md FROM to_ LEFT JOIN sm USING (file_ord)""")
 def md_strings(s, d):
-    r = synth.reads(s, d)
-    c = synth.chunks(s, 1000, 60).withColumnRenamed("chrom", "_c").withColumnRenamed("seq", "_s")
-    j = r.join(c, (F.col("chrom") == F.col("_c")) & (F.col("chunk") == F.expr("pos div 1000")))
-    return candidates.md_strings(j.select("file_ord", "seq", "cigar", F.substr("_s", (F.col("pos") - F.col("start") + 1).cast("int"), F.lit(40)).alias("ref")))
+    return _reference_tags(s, d).select("file_ord", "md")
 
 
 @query(f"""WITH {_B}, sq AS (SELECT chrom, string_agg(ref, '' ORDER BY p) seq FROM g GROUP BY chrom) SELECT 'f' || chrom AS chrom, replace(seq, 'C', 'T') AS seq FROM sq UNION ALL SELECT 'r' || chrom, replace(seq, 'G', 'A') FROM sq""")

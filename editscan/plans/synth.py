@@ -65,6 +65,6 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two candidates a mate; about a third of the reads tie or land elsewhere."""
+    """Two candidates a mate on converted contigs of either prefix; about a third of the reads tie or land elsewhere, and some mates are unmapped or secondary."""
     k = keys(spark, sf_dir).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("c"))
-    return k.selectExpr("file_ord * 2 + c as file_ord", "concat('f', f) as qname", "if(c = 0, 'f', 'r') as candidate", f"cast({_FLAG} | if((ok*3 + ln + c) % 29 = 0, 4, 0) | if((ok*5 + ln + c) % 19 = 0, 256, 0) as int) as flag", "concat('chr', ch + 1) as chrom", "pos + if(ok % 3 = 0, c * 7, 0) as pos", "'40M' as cigar", "mapq", "(ok*ln*13 + c*((ok % 5) * 3)) % 41 as score")
+    return k.selectExpr("file_ord * 2 + c as file_ord", "concat('f', f) as qname", "if(c = 0, 'f', 'r') as candidate", f"cast({_FLAG} | if((ok*3 + ln + c) % 29 = 0, 4, 0) | if((ok*5 + ln + c) % 19 = 0, 256, 0) as int) as flag", "concat(if((ok div 4 + c) % 2 = 0, 'f', 'r'), 'chr', ch + 1) as chrom", "pos + if(ok % 3 = 0, c * 7, 0) as pos", "'40M' as cigar", "mapq", "(ok*ln*13 + c*((ok % 5) * 3)) % 41 as score")
