@@ -9,7 +9,9 @@ from pyspark.sql import SparkSession
 
 from .plans import jobs, report
 
-COMMANDS = {"track": jobs.genome_track, "fragments": jobs.fragment_file, "quality": jobs.quality, "motifs": jobs.motif_hits, "footprints": jobs.footprints}
+COMMANDS = {"index": jobs.converted_index, "convert": jobs.converted_reads, "align": jobs.chosen_alignments, "training": jobs.training_file, "track": jobs.genome_track, "fragments": jobs.fragment_file, "quality": jobs.quality, "motifs": jobs.motif_hits, "footprints": jobs.footprints}
+#: Defaults of the command line that differ from the functions'.
+DEFAULTS = {"track": {"min_coverage": 10}}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     for name, job in COMMANDS.items():
         p = subs.add_parser(name, help=(job.__doc__ or "").split("\n")[0])
         for k, v in list(inspect.signature(job, eval_str=True).parameters.items())[1:]:
+            v = v.replace(default=DEFAULTS.get(name, {}).get(k, v.default))
             if v.annotation is bool:
                 p.add_argument(f"--{k}", action=argparse.BooleanOptionalAction, default=v.default)
             elif v.annotation == list[str]:
@@ -36,10 +39,11 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = vars(parser().parse_args(argv))
     command = args.pop("command")
+    spark = SparkSession.builder.appName(f"editscan {command}").getOrCreate()
     if command == "compare":
-        report.write_comparison(args["reports"], args["out"], args["name"])
+        report.write_comparison(spark, args["reports"], args["out"], args["name"])
     else:
-        COMMANDS[command](SparkSession.builder.appName(f"editscan {command}").getOrCreate(), **args)
+        COMMANDS[command](spark, **args)
 
 
 if __name__ == "__main__":

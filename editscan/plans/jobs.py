@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import footprint, fragments, intervals, motif, reads as rd, tracks, windows
+from ..operators import candidates, footprint, fragments, intervals, motif, reads as rd, tracks, windows
 from ..sources import alignments, bigwig, sequences, text
 from . import report
 from .staging import stage
@@ -47,13 +47,39 @@ def genome_track(spark: SparkSession, bam: str, out: str, fasta: str | None = No
     bigwig.write(track, contigs, out)
 
 
+def converted_index(spark: SparkSession, fasta: str, out: str) -> None:
+    """FASTA of the reference's two conversions, contigs f and r, for the aligner to index."""
+    whole = sequences.fasta(spark, fasta)
+    both = candidates.converted_reference(whole).join(whole.select(F.col("chrom").alias("_c"), F.col("ord").alias("_o")), F.substring("chrom", 2, 1 << 30) == F.col("_c"))
+    sequences.write_fasta(both.select((F.col("_o") * 2 + F.startswith("chrom", F.lit("r")).cast("int")).alias("ord"), "chrom", "seq"), out)
+
+
+def converted_reads(spark: SparkSession, reads: str, out: str, mates: str | None = None) -> None:
+    """Both conversions of the reads as FASTQ for the aligner (interleaved where there are mates), the original sequence and the candidate in the header's comment as tags. Mates of differing names raise."""
+    r = sequences.fastq(spark, reads)
+    if mates:
+        second = sequences.fastq(spark, mates, 2)
+        checked = candidates.zip_mates(r, second).select("idx", F.col("name").alias("_n"))
+        r = r.unionByName(second).join(checked, "idx").withColumn("name", F.col("_n")).drop("_n")
+    c = candidates.dual_conversion(r).withColumn("candidate", F.col("candidate") if mates else F.when(F.col("candidate") == "f", "ct").otherwise("ga"))
+    header = F.concat(F.lit("@"), "name", F.lit("\tYS:Z:"), "original", F.lit("\tYC:Z:"), "candidate")
+    text.write_lines(c.orderBy("idx", "candidate", "mate").select(F.concat(header, F.lit("\n"), "converted", F.lit("\n+\n"), "qual").alias("value")), out)
+
+
+def chosen_alignments(spark: SparkSession, sam: str, fasta: str, out: str) -> None:
+    """Sorted BAM of the better candidate of every read in the aligner's output, capped and restored to the original reference."""
+    records, fa = _records(spark, sam)[0], sequences.fasta(spark, fasta)
+    chosen = candidates.chosen_records(records, sequences.chunks(fa))
+    alignments.write_bam(stage(chosen, "chosen"), sequences.contigs(fa), out)
+
+
 def fragment_file(spark: SparkSession, bam: str, fasta: str, out: str, barcode_tag: str | None = None, compress: bool = False, min_mapq: int = 20, min_baseq: int = 20) -> None:
     records, contigs = _records(spark, bam)
     ref = sequences.bases(sequences.chunks(sequences.fasta(spark, fasta)))
     text.write_fragments(fragments.fragment_table(records, ref, min_mapq, min_baseq, barcode_tag), contigs, out, bool(barcode_tag), compress)
 
 
-def quality(spark: SparkSession, bam: str, fasta: str, out: str, sample: str, tss: str | None = None, n_reads: int | None = None, flank: int = 2000, min_mapq: int = 20, min_baseq: int = 20, page: bool = True) -> dict:
+def quality(spark: SparkSession, bam: str, fasta: str, out: str, sample: str, tss: str | None = None, n_reads: int | None = None, flank: int = 2000, min_mapq: int = 20, min_baseq: int = 20, page: bool = True, redact: bool = False, portable: bool = False) -> dict:
     """Writes the report of a sample and returns its metrics. Contigs must be in the reference at the same length."""
     if flank < 1 or n_reads is not None and n_reads < 1:
         raise ValueError("flank and n_reads are at least 1")
@@ -62,7 +88,7 @@ def quality(spark: SparkSession, bam: str, fasta: str, out: str, sample: str, ts
     rd.require_contigs(contigs, sequences.contigs(fa))
     pieces = stage(sequences.chunks(fa), "reference")
     made = report.quality_report(records, sequences.bases(pieces), pieces, contigs, sample, text.tss(spark, tss) if tss else None, n_reads, min_mapq, min_baseq, flank, {"bam": bam, "fasta": fasta, "tss": tss})
-    report.write_report(made, out, page)
+    report.write_report(made, out, page, redact, portable)
     return made.metrics
 
 
@@ -88,6 +114,11 @@ def footprints(spark: SparkSession, track: str, sites: str, out: str, n_shuffles
     return rows.count() - scored.count()
 
 
+def training_file(spark: SparkSession, fasta: str, track: str, regions: str, out: str, length: int = 128, step: int | None = None, valid_fraction: float = 0.1, seed: int = 42) -> None:
+    """The training set as Parquet, a folder for each part (is_valid)."""
+    training_set(spark, fasta, track, regions, length, step, valid_fraction, seed).write.partitionBy("is_valid").parquet(out)
+
+
 def training_set(spark: SparkSession, fasta: str, track: str, regions: str, length: int = 128, step: int | None = None, valid_fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """chrom, start, end, x, y, is_valid: one-hot windows with the track over them."""
     if length < 1 or step is not None and step < 1 or not 0 <= valid_fraction < 1:

@@ -91,7 +91,62 @@ def test_quality(spark, sample):
     assert [r["sample"] for r in both] == ["s1", "s2"] and [r["tss_status"] for r in both][1] == "not_requested"
     (d / "bad.json").write_text("[]")
     with pytest.raises(ValueError, match="no quality report"):
-        report.comparison([f"{d}/bad.json"])
+        report.comparison(spark, [f"{d}/bad.json"])
+    with pytest.raises(ValueError, match="no report"):
+        report.comparison(spark, [])
+
+
+def test_assessment():
+    m = {"reads": {"total": 10, "passing": 8, "duplicate": 6, "duplicate_rate": 0.6}, "editing": {"total_edits": 3, "total_opportunities": 9, "ct_edits": 1, "ga_edits": 2}}
+    a = report.assess(m)
+    assert a["overall"] == "PASS" and len(a["notes"]) == 1 and "duplicates" in a["notes"][0]
+    for path, value in (("passing", 11), ("passing", None), ("total", 5)):
+        assert report.assess({**m, "reads": m["reads"] | {path: value}})["overall"] == "FAIL"
+    for path, value in (("total_edits", 10), ("ga_edits", 3), ("total_opportunities", 0)):
+        assert report.assess({**m, "editing": m["editing"] | {path: value}})["overall"] == "FAIL"
+    assert report.assess({})["overall"] == "FAIL"
+
+
+def test_said_and_shareable():
+    assert [report.said(x, k) for x, k in ((0.1234, "a_rate"), (1234567, ""), (2.5e9, ""), (999, ""), (12000, ""), (None, ""), (float("nan"), ""), (True, ""), ({"a": 1}, ""))] == ["12.34%", "1.23 M", "2.50 B", "999", "12.00 K", "n/a", "n/a", "yes", "a: 1"]
+    m = {"provenance": {"bam": "/data/x/a.bam", "command": "run --bam /data/x/a.bam", "win": "C:\\x\\b.fa", "n": 3, "all": ["/", "plain"]}}
+    assert report.shareable(m) == {"provenance": {"bam": "a.bam", "command": "run --bam a.bam", "win": "b.fa", "n": 3, "all": ["[root]", "plain"]}} and m["provenance"]["bam"] == "/data/x/a.bam"
+
+
+def test_portable_page(spark, sample):
+    d = sample[0]
+    jobs.quality(spark, f"{d}/x.bam", f"{d}/g.fa", f"{d}/qc2", "s3", redact=True, portable=True)
+    page = (d / "qc2/s3/report.html").read_text()
+    assert str(d) not in page and "x.bam" in page and page.count("<svg") >= 4 and (d / "qc2/s3/data/context.csv").exists()
+    assert str(d) in (d / "qc2/s3.json").read_text()
+
+
+def test_alignment(spark, sample, tmp_path):
+    """Converted reference and reads, and the records chosen and restored from an aligner's output."""
+    d, seq, *_ = sample
+    jobs.converted_index(spark, f"{d}/g.fa", str(tmp_path / "c2t"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "c2t").glob("part-*")))
+    both = [x.split("\n", 1) for x in text.split(">")[1:]]
+    assert [(a, b.replace("\n", "")) for a, b in both] == [("fchr1", seq.replace("C", "T")), ("rchr1", seq.replace("G", "A"))]
+    for m in (1, 2):
+        (tmp_path / f"{m}.fq").write_text(f"@a/{m}\nACGTC\n+\nIIII{m}\n")
+    jobs.converted_reads(spark, str(tmp_path / "1.fq"), str(tmp_path / "fq"), str(tmp_path / "2.fq"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "fq").glob("part-*"))).split("\n")
+    assert lines[::4][:4] == [f"@a\tYS:Z:ACGTC\tYC:Z:{c}" for c in "ffrr"] and lines[1::4] == ["ATGTT", "ACATC", "ACATC", "ATGTT"]
+    jobs.converted_reads(spark, str(tmp_path / "1.fq"), str(tmp_path / "single"))
+    single = "".join(p.read_text() for p in sorted((tmp_path / "single").glob("part-*"))).split("\n")
+    assert [x[-2:] for x in single[::4][:2]] == ["ct", "ga"]
+    rows = []
+    for i, at in enumerate((100, 40)):
+        own = seq[at : at + 30]
+        for c, s in (("ct", own.replace("C", "T")), ("ga", own.replace("G", "A"))):
+            rows.append(f"r{i}\t0\t{'fr'[c == 'ga']}chr1\t{at + 1}\t60\t30M\t*\t0\t0\t{s}\t{'I' * 30}\tYS:Z:{own}\tYC:Z:{c}\tAS:i:{30 if c == 'ct' else 25}\tNM:i:9")
+    (tmp_path / "x.sam").write_text("@SQ\tSN:fchr1\tLN:600\n" + "\n".join(rows) + "\n")
+    jobs.chosen_alignments(spark, str(tmp_path / "x.sam"), f"{d}/g.fa", str(tmp_path / "out.bam"))
+    got = alignments.bam(spark, str(tmp_path / "out.bam")).orderBy("file_ord").collect()
+    assert [(r["qname"], r["chrom"], r["pos"], r["mapq"], r["seq"]) for r in got] == [(f"r{i}", "chr1", at, 60, seq[at : at + 30]) for i, at in ((1, 40), (0, 100))]
+    assert got[0]["tags"] == {"AS": "30", "NM": "0", "MD": "30", "ZC": "0", "ZG": "0"}
+    assert alignments.bam_contigs(spark, str(tmp_path / "out.bam")).collect()[0]["chrom"] == "chr1"
 
 
 def test_motifs_and_footprints(spark, sample, tmp_path):
@@ -114,4 +169,4 @@ def test_motifs_and_footprints(spark, sample, tmp_path):
 
 def test_options():
     a = parser().parse_args(["track", "--bam", "a", "--out", "b", "--extend", "3", "--normalize"])
-    assert (a.extend, a.normalize, a.fasta, a.min_mapq) == (3, True, None, 20)
+    assert (a.extend, a.normalize, a.fasta, a.min_mapq, a.min_coverage) == (3, True, None, 20, 10)
