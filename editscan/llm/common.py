@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 BLOCK_TOKENS = 1 << 19
 KEYS_PER_RANGE = 1 << 21
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 BLOCK_SCHEMA = "block long, n_docs long, n_tokens long, marked_tokens long, marked_docs long, doc_ids array<long>, marks binary, lens binary, ids binary, vocab binary"
 
@@ -40,18 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
+def stage(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage.
+
+    With ``by`` it is a table of the session in buckets of that column, as many as there are
+    shuffle partitions: grouped by the column it needs no shuffle. Such tables are to be unstaged.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/editscan/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged = path
+    # Once the table stands, nobody reads the shuffles that made it.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        to, table = df.write.option("compression", codec), f"editscan_{name}_{uuid.uuid4().hex}"
+        if by:
+            to.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        else:
+            to.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.table(table) if by else spark.read.schema(df.schema).parquet(path)
+    out._staged, out._table = path, table if by else None
     return out
 
 
 def unstage(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
+    if df._table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     path = jvm.org.apache.hadoop.fs.Path(df._staged)
     path.getFileSystem(conf).delete(path, True)
@@ -106,6 +123,25 @@ def release() -> None:
         trim(0)
 
 
+def planes(a: np.ndarray, kind: str = "<u8") -> bytes:
+    """Counts packed byte plane by byte plane: most are small, and high planes of zeros take no room."""
+    kind = np.dtype(kind)
+    return pack(a.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
+
+
+def unplanes(b: bytes, kind: str = "<u8") -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def by_frequency(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in order of their frequency, which pack smaller; and the old number of each new one."""
+    order = np.argsort(-np.bincount(ids, minlength=size), kind="stable")
+    new = np.empty(size, np.int32)
+    new[order] = np.arange(size, dtype=np.int32)
+    return new[ids], order
+
+
 class _Vocab(dict):
     def __missing__(self, key):
         self[key] = n = len(self)
@@ -135,7 +171,8 @@ def token_blocks(docs: DataFrame, text: str, doc_id: str, mark: F.Column | None
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab))
             n, m = np.array(lens, np.int32), np.array(marks, np.uint8)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            row = [(part << 12) + seq, len(n), int(n.sum()), int(n[m == 1].sum()), int(m.sum()), owners, m.tobytes(), n.tobytes(), pack(flat), hashes.tobytes()]
+            flat, order = by_frequency(flat, len(hashes))
+            row = [(part << 12) + seq, len(n), int(n.sum()), int(n[m == 1].sum()), int(m.sum()), owners, m.tobytes(), n.tobytes(), planes(flat, "<u4"), hashes[order].tobytes()]
             seq += 1
             if seq == 1 << 12:
                 raise ValueError("a partition has too many token blocks; use smaller input splits")
@@ -174,7 +211,7 @@ class Block:
         self.doc_ids = row["doc_ids"]
         self.marks = np.frombuffer(row["marks"], np.uint8).astype(bool)
         self.lens = np.frombuffer(row["lens"], np.int32).astype(np.int64)
-        self.ids = unpack(row["ids"], np.int32)
+        self.ids = unplanes(row["ids"], "<u4").astype(np.int32)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
         self.doc_of = np.repeat(np.arange(len(self.lens)), self.lens)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)])[:-1]
@@ -191,53 +228,143 @@ def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def count_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, floor: int = 0, kind: type[Block] = Block, pack_totals: Callable[[np.ndarray], bytes] = pack) -> DataFrame:
-    """Totals per key over all blocks, returned to every block that holds the key.
+def _cut(keys: np.ndarray, low: int, high: int, pieces: int) -> list[int]:
+    """Places in ascending keys, all in [low, high), at which as many equal pieces of that range begin; and their end."""
+    edges = np.array([low + (high - low) * r // pieces for r in range(1, pieces)], np.uint64)
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
 
-    ``keys_of`` gives a block's distinct uint64 keys, ascending, with its counts. Key ranges
-    are dealt to ranges of about KEYS_PER_RANGE entries (``n_keys``: entries in all blocks), so
-    a reducer's memory does not grow with the input; a frequent key is one entry per block.
-    Rows: range, block, totals (packed int64, in the block's key order within the range) and,
-    at block -1, per range n_pos (keys with a total above 0) plus the keys and totals of at
-    least ``floor`` (none where floor is 0).
+
+def _span(slot: int, fans: list[int]) -> tuple[int, int]:
+    """The keys of a slot: one piece of the fan-outs so far, cut one after another."""
+    digits = []
+    for f in reversed(fans):
+        slot, d = divmod(slot, f)
+        digits.append(d)
+    low, high = 0, 1 << 64
+    for f, d in zip(fans, reversed(digits)):
+        low, high = low + (high - low) * d // f, low + (high - low) * (d + 1) // f
+    return low, high
+
+
+_SENT = "slot long, unit long, keys binary, vals binary"
+_BACK = "slot long, unit long, totals binary, n_pos long, top_keys binary, top_totals binary"
+
+
+def key_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, answer: Callable[[np.ndarray], bytes], read: Callable[[bytes], np.ndarray], value: str = "<u8", top: int = 0, kind: type[Block] = Block, keys_per_range: int | None = None, fan: int = 256) -> DataFrame:
+    """Sums per key over all blocks, and an answer made of them returned to every block that holds the key.
+
+    ``keys_of`` gives a block's distinct uint64 keys, ascending, with its values (type ``value``);
+    ``n_keys`` is their number in all blocks. Each key's range is summed in one task, which holds
+    about ``keys_per_range`` entries. Up to ``fan`` ranges, blocks send to them at once. Beyond,
+    entries go there in several hops: a hop sends to ``fan`` slices of the keys at most, and
+    there the entries of as many blocks are summed to one block's, so the rows of a hop are in
+    proportion to the blocks, and a key that all blocks hold has no more than ``fan`` entries in
+    a task. Answers come back the same way. Rows: slot, unit (the block), totals (``answer``,
+    which ``read`` undoes and the next hop makes again, of the block's keys in the slot, in
+    order) and, at unit -1, a row a range with n_pos (keys with a sum above 0) and, where
+    ``top`` is not 0, the keys and sums of at least it.
     """
     spark = blocks.sparkSession
-    ranges = max(1, math.ceil(n_keys / KEYS_PER_RANGE))
-    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
-    sent_ddl, out_ddl = "range long, block long, keys binary, counts binary", "range long, block long, totals binary, n_pos long, top_keys binary, top_totals binary"
-    sent, out = _arrow_schema(spark, sent_ddl), _arrow_schema(spark, out_ddl)
+    per = keys_per_range or KEYS_PER_RANGE
+    ranges, hops = max(1, math.ceil(n_keys / per)), 1
+    while fan**hops < ranges:
+        hops += 1
+    each = max(1, math.ceil(ranges ** (1 / hops)))
+    sent, back = _arrow_schema(spark, _SENT), _arrow_schema(spark, _BACK)
+
+    def pieces(slot: int, unit: int, keys: np.ndarray, vals: np.ndarray, fans: list[int]) -> list[tuple]:
+        cut = _cut(keys, *_span(slot, fans), each)
+        return [(slot * each + r, unit, pack(np.diff(keys[a:b], prepend=np.uint64(0))), planes(vals[a:b], value)) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
     def send(batches):
         for x in blocks_in(batches, kind):
-            keys, counts = keys_of(x)
-            cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            rows = [(r, x.block, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            yield rows_to_batch(rows, sent)
+            yield rows_to_batch(pieces(0, x.block, *keys_of(x), []), sent)
         release()
 
-    def total(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        names = table.column("block").to_pylist()
+    def opened(table: pa.Table):
+        """Units in order, their keys, the distinct keys with each entry's place among them, and the sums."""
+        table = table.sort_by("unit")
         keys = [np.cumsum(unpack(b.as_py(), np.uint64), dtype=np.uint64) for b in table.column("keys")]
-        counts = np.concatenate([unpack(b.as_py(), np.uint32) for b in table.column("counts")]).astype(np.int64)
+        vals = np.concatenate([unplanes(b.as_py(), value) for b in table.column("vals")])
         uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.zeros(len(uniq), np.int64)
-        np.add.at(sums, inv, counts)
-        each, at, rows, r = sums[inv], 0, [], table.column("range")[0].as_py()
-        for name, k in zip(names, keys):
-            rows.append((r, name, pack_totals(each[at : at + len(k)]), None, None, None))
+        sums = np.zeros(len(uniq), np.dtype(value))
+        np.add.at(sums, inv, vals)
+        return table.column("unit").to_pylist(), keys, uniq, inv, sums
+
+    def dealt(slot: int, units: list, keys: list, each_: np.ndarray) -> list[tuple]:
+        rows, at = [], 0
+        for u, k in zip(units, keys):
+            rows.append((slot, u, answer(each_[at : at + len(k)]), None, None, None))
             at += len(k)
-        top = sums >= floor if floor else np.zeros(len(sums), bool)
-        rows.append((r, -1, None, int((sums > 0).sum()), pack(uniq[top]), pack(sums[top])))
-        return pa.Table.from_batches([rows_to_batch(rows, out)])
+        return rows
 
-    return blocks.mapInArrow(send, sent_ddl).groupBy("range").applyInArrow(total, out_ddl)
+    def merge(fans: list[int]):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            _, _, uniq, _, sums = opened(table)
+            slot, crowd = (k.as_py() for k in key)
+            return pa.Table.from_batches([rows_to_batch(pieces(slot, crowd, uniq, sums, fans), sent)])
+
+        return run
+
+    def total(table: pa.Table) -> pa.Table:
+        units, keys, uniq, inv, sums = opened(table)
+        slot = table.column("slot")[0].as_py()
+        best = sums >= top if top else np.zeros(len(sums), bool)
+        rows = dealt(slot, units, keys, sums[inv])
+        rows.append((slot, -1, None, int((sums > 0).sum()), pack(uniq[best]), planes(sums[best], value)))
+        return pa.Table.from_batches([rows_to_batch(rows, back)])
+
+    def undo(table: pa.Table, answers: pa.Table) -> pa.Table:
+        units, keys, _, inv, _ = opened(table)
+        got = _in_order(answers, read)
+        return pa.Table.from_batches([rows_to_batch(dealt(table.column("slot")[0].as_py(), units, keys, got[inv]), back)])
+
+    rows, levels = blocks.mapInArrow(send, _SENT), []
+    n_blocks = blocks.count() if hops > 1 else 0
+    for hop in range(1, hops):
+        crowd = F.pmod(F.xxhash64("unit"), F.lit(-(-n_blocks // each**hop)))
+        rows = stage(rows, "hop")
+        levels.append((rows, crowd))
+        rows = rows.groupBy("slot", crowd.alias("crowd")).applyInArrow(merge([each] * hop), _SENT)
+    out = rows.groupBy("slot").applyInArrow(total, _BACK)
+    for level, crowd in reversed(levels):
+        out = stage(out, "answers")
+        down = out.where("unit >= 0").groupBy(F.expr(f"slot div {each}").alias("s"), F.col("unit").alias("u"))
+        up = level.groupBy(F.col("slot").alias("s"), crowd.alias("u"))
+        out = up.cogroup(down).applyInArrow(undo, _BACK).unionByName(out.where("unit < 0"))
+    return out
+
+
+def _in_order(table: pa.Table, read: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """A unit's answers, in the order of its keys, from its rows of key_exchange."""
+    got = sorted(zip(table.column("slot").to_pylist(), table.column("totals").to_pylist()))
+    return np.concatenate([read(b) for _, b in got]) if got else read(planes(np.empty(0, np.uint64)))
+
+
+def count_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, **more) -> DataFrame:
+    """key_exchange of counts, each of whose totals returns; read them by totals_of."""
+    return key_exchange(blocks, keys_of, n_keys, planes, unplanes, **more)
 
 
 def totals_of(table: pa.Table) -> np.ndarray:
-    """A block's totals, in its key order, from its rows of count_exchange."""
-    got = sorted(zip(table.column("range").to_pylist(), table.column("totals").to_pylist()))
-    return np.concatenate([unpack(b, np.int64) for _, b in got]) if got else np.empty(0, np.int64)
+    return _in_order(table, unplanes)
+
+
+def flags_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, **more) -> DataFrame:
+    """key_exchange of gains (double): whether a key's sum is 0 or more; read by flags_of."""
+    return key_exchange(blocks, keys_of, n_keys, _flags, _unflags, value="<f8", **more)
+
+
+def _flags(sums: np.ndarray) -> bytes:
+    return pack((sums if sums.dtype == bool else sums >= 0).astype(np.uint8))
+
+
+def _unflags(b: bytes) -> np.ndarray:
+    return unpack(b, np.uint8).astype(bool)
+
+
+def flags_of(table: pa.Table) -> np.ndarray:
+    return _in_order(table, _unflags) if table.num_rows else np.zeros(0, bool)
 
 
 def components(edges: DataFrame) -> DataFrame:

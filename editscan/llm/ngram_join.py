@@ -102,7 +102,7 @@ def _signatures(blocks: DataFrame, k: int, num: int, den: int, n_tokens: int) ->
         return pa.Table.from_batches([rows_to_batch(rows, schema)])
 
     got = count_exchange(blocks, keys_of, n_tokens)
-    return blocks.groupBy("block").cogroup(got.where("block >= 0").groupBy("block")).applyInArrow(sign, _DDL)
+    return blocks.groupBy("block").cogroup(got.where("unit >= 0").groupBy("unit")).applyInArrow(sign, _DDL)
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:

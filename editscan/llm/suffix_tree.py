@@ -16,7 +16,6 @@ verdicts of the depths so far and make each token's probability of them.
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
@@ -25,22 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, KEYS_PER_RANGE, Block, _arrow_schema, blocks_in, count_exchange, mix64, pack, release, rows_to_batch, stage, token_blocks, totals_of, unpack, unstage
+from .common import BLOCK_SCHEMA, Block, _arrow_schema, count_exchange, flags_exchange, flags_of, mix64, pack, planes, rows_to_batch, stage, token_blocks, totals_of, unpack, unplanes, unstage
 
 BEGIN, END, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _STATE = BLOCK_SCHEMA + ", uni binary, counts array<binary>, keeps array<binary>, n_next long"
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Counts packed byte plane by byte plane: most are small."""
-    return pack(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-
-
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 class State(Block):
     """A token block with the counts and verdicts of each depth, per token (ends of documents included).
 
@@ -62,8 +52,8 @@ class State(Block):
         self.doc = np.repeat(np.arange(len(lens)), lens)
         if "uni" in row:
             own = np.zeros(self.size, np.int64)
-            own[~self.is_end] = unpack(row["uni"], np.uint32)[self.ids]
-            self.ns = [own, *map(_unplanes, row["counts"])]
+            own[~self.is_end] = unplanes(row["uni"])[self.ids]
+            self.ns = [own, *map(unplanes, row["counts"])]
             self.keeps = [np.unpackbits(unpack(b, np.uint8), count=self.size).astype(bool) for b in row["keeps"]]
 
     def seen(self, depth: int, trained: int) -> np.ndarray:
@@ -91,41 +81,7 @@ class State(Block):
         return np.bincount(self.doc, weights=w, minlength=len(self.lens))
 
 
-def _verdicts(states: DataFrame, gains_of, n_keys: int) -> DataFrame:
-    """Per block, packed flags in its key order of whether each key's gains over all blocks reach 0; as count_exchange."""
-    spark = states.sparkSession
-    ranges = max(1, math.ceil(n_keys / KEYS_PER_RANGE))
-    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
-    sent_ddl, out_ddl = "range long, block long, keys binary, gains binary", "range long, block long, totals binary"
-    sent, out = _arrow_schema(spark, sent_ddl), _arrow_schema(spark, out_ddl)
-
-    def send(batches):
-        for x in blocks_in(batches, State):
-            keys, gains = gains_of(x)
-            cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            yield rows_to_batch([(r, x.block, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(gains[a:b])) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a], sent)
-        release()
-
-    def total(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        keys = [np.cumsum(unpack(b.as_py(), np.uint64), dtype=np.uint64) for b in table.column("keys")]
-        uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        keep = (np.bincount(inv, weights=np.concatenate([unpack(b.as_py(), np.float64) for b in table.column("gains")]), minlength=len(uniq)) >= 0)[inv].astype(np.uint8)
-        at, rows, r = 0, [], table.column("range")[0].as_py()
-        for name, k in zip(table.column("block").to_pylist(), keys):
-            rows.append((r, name, pack(keep[at : at + len(k)])))
-            at += len(k)
-        return pa.Table.from_batches([rows_to_batch(rows, out)])
-
-    return states.mapInArrow(send, sent_ddl).groupBy("range").applyInArrow(total, out_ddl)
-
-
-def _totals_of(table: pa.Table, read) -> np.ndarray:
-    got = sorted(zip(table.column("range").to_pylist(), table.column("totals").to_pylist()))
-    return np.concatenate([read(b) for _, b in got]) if got else np.empty(0, np.uint8)
-
-
-def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id", text: str = "text", max_depth: int = 3, min_count: int = 2, strength: float = 2.0, min_divergence: float = 0.01) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id", text: str = "text", max_depth: int = 3, min_count: int = 2, strength: float = 2.0, min_divergence: float = 0.01, **sizes) -> DataFrame:
     """Scores every document with a tree learned from those where ``train`` is true.
 
     Returns one row per input row: doc_id, held_out (not train), n_tokens, n_known,
@@ -133,11 +89,12 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
     is an empty document, which has its end token only; a null id stays null (and, its train
     flag being null, counts as not train); repeated rows each count and are each scored; with
     no training document all words are unseen and both scores agree. Other columns are ignored.
+    ``sizes`` go to common.key_exchange (keys_per_range, fan) and change no result.
     """
     if max_depth < 1 or min_count < 2:
         raise ValueError("max_depth must be 1 or more and min_count 2 or more")
     spark = docs.sparkSession
-    blocks = stage(token_blocks(docs, text, doc_id, mark=train), "blocks")
+    blocks = stage(token_blocks(docs, text, doc_id, mark=train), "blocks", by="block")
     words, trained, keys = blocks.agg(F.coalesce(F.sum("marked_tokens"), F.lit(0)), F.coalesce(F.sum("marked_docs"), F.lit(0)), F.coalesce(F.sum(F.length("vocab") / 8), F.lit(0)).cast("long")).first()
     n = words + trained
 
@@ -146,8 +103,8 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
         counts = np.bincount(x.ids[np.repeat(x.marks, x.lens)], minlength=len(x.vocab))
         return x.vocab[at], counts[at]
 
-    got = stage(count_exchange(blocks, keys_of, keys), "counts")
-    v = (got.where("block = -1").agg(F.sum("n_pos")).first()[0] or 0) + (trained > 0)
+    got = stage(count_exchange(blocks, keys_of, keys, **sizes), "counts")
+    v = (got.where("unit = -1").agg(F.sum("n_pos")).first()[0] or 0) + (trained > 0)
     names = [f.strip().split(" ")[0] for f in _STATE.split(", ")]
     schema, out = _arrow_schema(spark, _STATE), _arrow_schema(spark, _OUT)
 
@@ -170,9 +127,9 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
     def root(table: pa.Table, totals: pa.Table) -> pa.Table:
         made_ = []
         for row in rows_of(table):
-            known = np.empty(len(row["vocab"]) // 8, np.uint32)
+            known = np.empty(len(row["vocab"]) // 8, np.uint64)
             known[np.argsort(np.frombuffer(row["vocab"], np.uint64))] = totals_of(totals)
-            made_.append(made(State(row | {"uni": pack(known), "counts": [], "keeps": []})))
+            made_.append(made(State(row | {"uni": planes(known), "counts": [], "keeps": []})))
         return pa.Table.from_batches(made_, schema=schema)
 
     def left_out(x: State, depth: int):
@@ -191,7 +148,7 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
         """Whether each token's context of ``depth`` words is a state."""
         use, h, _ = x.contexts(depth, trained, min_count)
         keep = np.zeros(x.size, bool)
-        keep[use] = _totals_of(totals, lambda b: unpack(b, np.uint8)).astype(bool)[np.unique(h, return_inverse=True)[1]]
+        keep[use] = flags_of(totals)[np.unique(h, return_inverse=True)[1]]
         return keep
 
     def of(totals: pa.Table, kind: int) -> pa.Table:
@@ -204,9 +161,9 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
                 x = State(row)
                 keeps = [*row["keeps"], pack(np.packbits(judged(x, of(totals, 1), depth - 1)))] if depth > 1 else []
                 use, h, _ = x.contexts(depth, trained, min_count)
-                counts = np.zeros(x.size, np.uint32)
-                counts[use] = _totals_of(of(totals, 0), _unplanes)[np.unique(x.grams(use, h), return_inverse=True)[1]]
-                x.row, x.ns = row | {"counts": [*row["counts"], _planes(counts)], "keeps": keeps}, [*x.ns, counts]
+                counts = np.zeros(x.size, np.int64)
+                counts[use] = totals_of(of(totals, 0))[np.unique(x.grams(use, h), return_inverse=True)[1]]
+                x.row, x.ns = row | {"counts": [*row["counts"], planes(counts)], "keeps": keeps}, [*x.ns, counts]
                 made_.append(made(x))
             return pa.Table.from_batches(made_, schema=schema)
 
@@ -231,28 +188,25 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
         return s.agg(F.coalesce(F.sum("n_next"), F.lit(0))).first()[0]
 
     def drop(*old: DataFrame) -> None:
-        """Deletes staged tables; Spark deletes the shuffles of plans that are collected, the last job's not among them."""
         for df in old:
             unstage(df)
-        spark.range(1).count()
-        gc.collect()
-        spark._jvm.System.gc()
 
     def verdicts(s: DataFrame, depth: int, now: int) -> DataFrame:
-        return _verdicts(s, lambda x: left_out(x, depth), now).withColumn("kind", F.lit(1))
+        return flags_exchange(s, lambda x: left_out(x, depth), now, kind=State, **sizes).where("unit >= 0").select("slot", F.col("unit").alias("block"), "totals", F.lit(1).alias("kind"))
 
-    cur = stage(blocks.groupBy("block").cogroup(got.where("block >= 0").groupBy("block")).applyInArrow(root, _STATE), "states")
+    cur = stage(blocks.groupBy("block").cogroup(got.where("unit >= 0").groupBy("unit")).applyInArrow(root, _STATE), "states", by="block")
     depth, now, more = 0, 0, followers(cur)
     drop(blocks, got)
     while depth < max_depth and more:
-        totals = count_exchange(cur, lambda x, d=depth + 1: counted(x, d), more, kind=State, pack_totals=_planes).where("block >= 0").select("range", "block", "totals", F.lit(0).alias("kind"))
+        totals = count_exchange(cur, lambda x, d=depth + 1: counted(x, d), more, kind=State, **sizes).where("unit >= 0").select("slot", F.col("unit").alias("block"), "totals", F.lit(0).alias("kind"))
         if depth:
             totals = totals.unionByName(verdicts(cur, depth, now))
         depth += 1
         totals = stage(totals, "totals")
-        drop()
-        before, cur = cur, stage(cur.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(next_depth(depth), _STATE), "states")
+        before, cur = cur, stage(cur.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(next_depth(depth), _STATE), "states", by="block")
         now, more = more, followers(cur)
         drop(before, totals)
-    last = verdicts(cur, depth, now) if depth else cur.select(F.lit(0).cast("long").alias("range"), "block", F.lit(None).cast("binary").alias("totals"), F.lit(1).alias("kind")).limit(0)
-    return cur.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(scored(depth), _OUT)
+    last = verdicts(cur, depth, now) if depth else cur.select(F.lit(0).cast("long").alias("slot"), "block", F.lit(None).cast("binary").alias("totals"), F.lit(1).alias("kind")).limit(0)
+    scores = stage(cur.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(scored(depth), _OUT), "scores")
+    drop(cur)
+    return scores
