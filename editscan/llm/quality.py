@@ -6,6 +6,10 @@ share ``h`` of documents nearest in Mahalanobis distance gives the next mean and
 Distances are binned on a fixed logarithmic scale, so that one aggregation per step, whose state
 has a bounded number of bins a group, serves for ranks and moments alike, and no group is
 gathered in one task. Of the starts the smallest determinant wins.
+
+Every group is estimated, whatever its size. An estimate counts ``prior`` documents besides its
+own that are spread like its language's (and the language's, like all documents'), so a small
+source is judged by its language, a large one by itself, and nothing switches in between.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import stage, words_of
 
-P = 4
+P = 5
 _X = [f"x{i}" for i in range(P)]
 #: Least standard deviations: without them statistics that most documents share exactly would reject every other value.
-FLOOR = (0.5, 0.1, 0.5, 0.8)
+FLOOR = (0.5, 0.1, 0.5, 0.8, 0.8)
 
 
 def text_statistics(text: Column) -> list[Column]:
@@ -86,78 +90,103 @@ def _factor(df: DataFrame) -> DataFrame:
     return df.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0)))
 
 
-def _moments(df: DataFrame, by: list[str], weight: Column) -> DataFrame:
-    sums = [F.sum(weight).alias("n"), *[F.sum(weight * F.col(x)).alias(f"s{i}") for i, x in enumerate(_X)], *[F.sum(weight * F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]]
-    return df.groupBy(*by).agg(*sums)
+_MOMENTS = [*[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i in range(P) for j in range(i + 1)]]
+
+
+def _moments(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, and sums of the vectors and of their products."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)])
+
+
+def _shrunk(df: DataFrame, tree: DataFrame, cols: list[str], prior: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Averages ``cols`` of groups (g, *on, n), each with ``prior`` rows of its parent's shrunk averages besides; tree: (g, parent, level)."""
+    out, above = None, None
+    for level in range(3):
+        at = df.join(tree.where(F.col("level") == level).select("g", "parent"), "g")
+        if above is not None:
+            at = at.join(above.select(F.col("g").alias("parent"), *on, *[F.col(c).alias(f"_{c}") for c in cols]), ["parent", *on])
+            at = at.select("g", *on, *[((F.col("n") * F.col(c) + prior * F.col(f"_{c}")) / (F.col("n") + prior)).alias(c) for c in cols])
+        above = at.select("g", *on, *cols)
+        out = above if out is None else out.unionByName(above)
+    return out
 
 
-def _shape(df: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and covariance of summed moments n, s*, q*."""
-    m = df.select(*by, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[F.col(f"q{i}{j}") for i in range(P) for j in range(i + 1)])
-    return m.select(*by, "n", *[f"m{i}" for i in range(P)], *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"a{i}{j}") for i in range(P) for j in range(i + 1)])
+def _shape(averages: DataFrame) -> DataFrame:
+    """Mean and covariance of averaged moments s*, q*."""
+    return averages.select("g", "start", *[F.col(f"s{i}").alias(f"m{i}") for i in range(P)], *[(F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")).alias(f"a{i}{j}") for i in range(P) for j in range(i + 1)])
 
 
 _D_BINS = 64
 
 
-def minimum_covariance_determinant(vectors: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
-    """Per group g of vectors (g, x0..x3): mean m*, Cholesky factor l* (consistent at the normal)."""
+def minimum_covariance_determinant(vectors: DataFrame, tree: DataFrame, h: float = 0.75, steps: int = 4, prior: float = 50.0) -> DataFrame:
+    """Per group g: mean m*, Cholesky factor l* (consistent at the normal).
+
+    vectors: (g, x0..x4), a row for each group that a document is of, its own and those above;
+    tree: (g, parent, level), level 0 the root. An empty table gives an empty result.
+    """
     # Start 0: medians and median absolute deviations; start 1: spatial signs about the medians.
     long = vectors.select("g", F.posexplode(F.array(*_X)).alias("k", "x"))
     place = lambda df, x, by: _quantile(df.withColumn("bin", F.floor(F.col(x) * 128).cast("long")), by, 0.5)
-    med = place(long, "x", ["g", "k"]).select("g", "k", ((F.col("bin") + 0.5) / 128).alias("m"))
-    med = stage(med, "medians")
-    wide = lambda df, c, name: df.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{name}{i}") for i in range(P)])
-    mad = place(long.join(med, ["g", "k"]).withColumn("r", F.abs(F.col("x") - F.col("m"))), "r", ["g", "k"]).select("g", "k", ((F.col("bin") + 0.5) / 128 * 1.4826).alias("s"))
-    start = stage(wide(med, "m", "m").join(wide(mad, "s", "v"), "g"), "starts")
+    wide = lambda df, name: df.groupBy("g").agg(F.max("all").alias("n"), *[F.max(F.when(F.col("k") == i, F.col("v"))).alias(f"{name}{i}") for i in range(P)])
+    med = place(long, "x", ["g", "k"]).select("g", "k", "all", ((F.col("bin") + 0.5) / 128).alias("v"))
+    med = stage(_shrunk(wide(med, "m"), tree, [f"m{i}" for i in range(P)], prior), "medians")
+    centre = med.select("g", F.posexplode(F.array(*[f"m{i}" for i in range(P)])).alias("k", "m"))
+    mad = place(long.join(centre, ["g", "k"]).withColumn("r", F.abs(F.col("x") - F.col("m"))), "r", ["g", "k"]).select("g", "k", "all", ((F.col("bin") + 0.5) / 128 * 1.4826).alias("v"))
+    start = stage(med.join(_shrunk(wide(mad, "v"), tree, [f"v{i}" for i in range(P)], prior), "g"), "starts")
+    scale = lambda i: F.greatest(F.col(f"v{i}"), F.lit(FLOOR[i]))
     z = vectors.join(start, "g")
     for i in range(P):
-        z = z.withColumn(f"z{i}", (F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(F.col(f"v{i}"), F.lit(FLOOR[i])))
+        z = z.withColumn(f"z{i}", (F.col(f"x{i}") - F.col(f"m{i}")) / scale(i))
     z = z.withColumn("norm", F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0)), F.lit(1e-9)))
-    signs = z.groupBy("g").agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
-    both = start.join(signs, "g")
-    scale = lambda i: F.greatest(F.col(f"v{i}"), F.lit(FLOOR[i]))
-    first = [both.select("g", F.lit(s).alias("start"), *[f"m{i}" for i in range(P)], *[((F.col(f"c{i}{j}") * P if s else F.lit(float(i == j))) * scale(i) * scale(j)).alias(f"a{i}{j}") for i in range(P) for j in range(i + 1)]) for s in (0, 1)]
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    signs = z.groupBy("g").agg(F.count("*").alias("n"), *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).alias(f"c{i}{j}") for i, j in pairs])
+    both = start.join(_shrunk(signs, tree, [f"c{i}{j}" for i, j in pairs], prior), "g")
+    first = [both.select("g", F.lit(s).alias("start"), *[f"m{i}" for i in range(P)], *[((F.col(f"c{i}{j}") * P if s else F.lit(float(i == j))) * scale(i) * scale(j)).alias(f"a{i}{j}") for i, j in pairs]) for s in (0, 1)]
     shape = stage(_factor(first[0].unionByName(first[1])), "shapes")
     for _ in range(steps):
         d = _distance(vectors.join(shape, "g")).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * _D_BINS).cast("long"))
-        bins = _moments(d, ["g", "start", "bin"], F.lit(1.0))
+        bins = _moments(d, ["g", "start", "bin"])
         w = Window.partitionBy("g", "start")
-        kept = bins.withColumn("before", F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("all", F.sum("n").over(w)).where(F.col("before") < F.col("all") * h)
-        merged = kept.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i in range(P) for j in range(i + 1)]]])
-        shape = stage(_factor(_shape(merged, ["g", "start"])), "shapes")
+        # At most a bin for each 64th of a power of two from 2^-20 on, whatever the group's size.
+        kept = bins.withColumn("before", F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(w)).where(F.col("before") < F.col("all") * h)
+        merged = kept.groupBy("g", "start").agg(F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in _MOMENTS])
+        shape = stage(_factor(_shape(_shrunk(merged, tree, _MOMENTS, prior, ("start",)))), "shapes")
     best = shape.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))).where("rank = 1")
     grow = math.sqrt(h / chi2_cdf(chi2_quantile(h, P), P + 2))
-    return best.select("g", *[f"m{i}" for i in range(P)], *[(F.col(f"l{i}{j}") * grow).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)])
+    return best.select("g", *[f"m{i}" for i in range(P)], *[(F.col(f"l{i}{j}") * grow).alias(f"l{i}{j}") for i, j in pairs])
 
 
 def _quantile(df: DataFrame, by: list[str], q: float) -> DataFrame:
     """The bin of each group in which the share q of its rows is reached."""
     n = df.groupBy(*by, "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by)
-    return n.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)).where((F.col("upto") >= F.col("all") * q) & (F.col("upto") - F.col("n") < F.col("all") * q)).drop("n", "upto", "all")
+    return n.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)).where((F.col("upto") >= F.col("all") * q) & (F.col("upto") - F.col("n") < F.col("all") * q)).drop("n", "upto")
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 1e-6, min_group: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 1e-6, prior: float = 50.0) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows.
     kept: not base_failed, and the squared distance is at most the chi-square value that normal
-    data exceed at rate ``cutoff``. Language and source (null: a value of its own) make a group;
-    groups under ``min_group`` documents join in one per language, and languages still under it
-    in one for all, or the covariance would rest on too few. Null or empty text has no words and
-    fails. Null ids stay null; repeated rows are each judged; other columns are ignored.
+    data exceed at rate ``cutoff``. Language and source (null: a value of its own) make a group,
+    estimated on those that did not fail, with ``prior`` documents of its language besides. Null
+    or empty text has no words and fails. Null ids stay null; repeated rows are each judged;
+    other columns are ignored; an empty table gives no rows.
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.concat(F.lit("l"), F.col(lang)), F.lit("")).alias("lang"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("source"))
     d = with_statistics(src, "text").drop("text")
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     per = F.col("n_words") + 1
-    d = stage(d.withColumns({"x0": F.log1p("n_words"), "x1": F.log((F.col("word_chars") + 1) / per), "x2": F.log1p(100 * F.col("n_symbols") / per), "x3": F.log1p(F.col("n_dup_lines")), "x4": F.log1p(100 * F.col("n_repeat_words") / per)}), "statistics")
-    small = d.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("rest", F.col("n") < min_group)
-    of_lang = F.sum(F.when(F.col("rest"), F.col("n"))).over(Window.partitionBy("lang"))
-    groups = small.select("lang", "source", F.when(~F.col("rest"), F.concat(F.lit("g"), F.length("lang"), F.lit(":"), "lang", "source")).when(of_lang >= min_group, F.concat(F.lit("l"), "lang")).otherwise("all").alias("g"))
-    d = stage(d.join(groups, ["lang", "source"]), "grouped")
-    shape = minimum_covariance_determinant(d.where(~F.col("base_failed")).select("g", *_X))
+    d = d.withColumns({"x0": F.log1p("n_words"), "x1": F.log((F.col("word_chars") + 1) / per), "x2": F.log1p(100 * F.col("n_symbols") / per), "x3": F.log1p(F.col("n_dup_lines")), "x4": F.log1p(100 * F.col("n_repeat_words") / per)})
+    # A name holds its language's length, so no two groups share one.
+    names = [F.lit("all"), F.concat(F.lit("l"), F.col("lang")), F.concat(F.lit("g"), F.length("lang").cast("string"), F.lit(":"), "lang", "source")]
+    d = stage(d.withColumn("g", names[2]), "statistics")
+    ok = d.where(~F.col("base_failed"))
+    level = lambda k: F.struct(names[k].alias("g"), (names[k - 1] if k else F.lit(None).cast("string")).alias("parent"), F.lit(k).alias("level"))
+    tree = stage(ok.select("lang", "source").distinct().select(F.explode(F.array(*[level(k) for k in range(3)])).alias("t")).select("t.*").distinct(), "groups")
+    vectors = ok.select(F.explode(F.array(*names)).alias("g"), *_X)
+    shape = minimum_covariance_determinant(vectors, tree, prior=prior)
     far = _distance(d.join(shape, "g", "left"))
-    ok = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(1 - cutoff, P))
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance2"), ok.alias("kept"))
+    good = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(1 - cutoff, P))
+    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance2"), good.alias("kept"))

@@ -88,3 +88,74 @@ def personal_row(text):
     found = personal(text)
     n = Counter(k for k, _, _ in found)
     return (*(n[k] for k in ("email", "ip", "card", "phone")), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest())
+
+
+def kept(rows, h=0.75, steps=4, prior=50.0, cutoff=1e-6):
+    """Verdicts of rows (lang, source, text) by minimum covariance determinants with their language's and all documents' as priors."""
+    import numpy as np
+
+    floor = np.array([0.5, 0.1, 0.5, 0.8, 0.8])
+    p, stats, vecs = len(floor), [statistics(t) for _, _, t in rows], []
+    for w, chars, symbols, dup, rep in stats:
+        vecs.append([math.log1p(w), math.log((chars + 1) / (w + 1)), math.log1p(100 * symbols / (w + 1)), math.log1p(dup), math.log1p(100 * rep / (w + 1))])
+    vecs, failed = np.array(vecs), np.array([w < 10 or 100 * rep > 20 * w for w, *_, rep in stats])
+    groups = {}
+    for k, (lang, source, _) in enumerate(rows):
+        if not failed[k]:
+            for g in ((), (lang,), (lang, source)):
+                groups.setdefault(g, []).append(k)
+    levels = sorted(groups, key=len)
+
+    def shrink(own):
+        out = {}
+        for g in levels:
+            n, a = own[g]
+            out[g] = (n * a + prior * out[g[:-1]]) / (n + prior) if g else a
+        return out
+
+    def middle(x):
+        bins = np.sort(np.floor(x * 128).astype(int), axis=0)
+        return (bins[math.ceil(len(x) / 2) - 1] + 0.5) / 128
+
+    def factor(mean, cov):
+        low = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i + 1):
+                s = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = math.sqrt(max(s + floor[i] ** 2, floor[i] ** 2)) if i == j else s / low[j, j]
+        return mean, low
+
+    far = lambda x, shape: (np.linalg.solve(shape[1], (x - shape[0]).T) ** 2).sum(axis=0)
+    med = shrink({g: (len(k), middle(vecs[k])) for g, k in groups.items()})
+    mad = shrink({g: (len(k), middle(np.abs(vecs[k] - med[g])) * 1.4826) for g, k in groups.items()})
+    scale = {g: np.maximum(mad[g], floor) for g in groups}
+    sign = {}
+    for g, k in groups.items():
+        z = (vecs[k] - med[g]) / scale[g]
+        z = z / np.sqrt(np.maximum((z * z).sum(axis=1), 1e-9))[:, None]
+        sign[g] = (len(k), z.T @ z / len(k))
+    sign = shrink(sign)
+    shapes = [{g: factor(med[g], np.eye(p) * np.outer(scale[g], scale[g])) for g in groups}, {g: factor(med[g], sign[g] * p * np.outer(scale[g], scale[g])) for g in groups}]
+    for s, shape in enumerate(shapes):
+        for _ in range(steps):
+            means = {}
+            for g, k in groups.items():
+                x = vecs[k]
+                bins = np.floor(np.log2(far(x, shape[g]) + 2.0**-20) * 64)
+                rank = np.searchsorted(np.sort(bins), bins)
+                x = x[rank < h * len(x)]
+                means[g] = (len(x), np.concatenate([x.mean(axis=0), (x.T @ x / len(x)).ravel()]))
+            means = shrink(means)
+            shape = {g: factor(m[:p], m[p:].reshape(p, p) - np.outer(m[:p], m[:p])) for g, m in means.items()}
+        shapes[s] = shape
+    from editscan.llm.quality import chi2_cdf, chi2_quantile
+
+    grow, out = math.sqrt(h / chi2_cdf(chi2_quantile(h, p), p + 2)), []
+    for k, (lang, source, _) in enumerate(rows):
+        if failed[k]:
+            out.append((False, None))
+            continue
+        shape = min((s[lang, source] for s in shapes), key=lambda s: 2 * np.log(np.diag(s[1])).sum())
+        d2 = far(vecs[k : k + 1], (shape[0], shape[1] * grow))[0]
+        out.append((bool(d2 <= chi2_quantile(1 - cutoff, p)), d2))
+    return out

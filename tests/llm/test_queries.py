@@ -67,6 +67,23 @@ def test_op4(spark, medium):
     assert sum(r["kept"] for r in got) > 0.5 * sum(not r["base_failed"] for r in got)
 
 
+def test_op4_verdicts(spark, medium):
+    """Every verdict and distance against brute force, in the small groups of the given table and in large made ones."""
+    from editscan.llm import quality
+
+    given = duckdb.sql(f"SELECT doc_id, lang, source, text FROM '{medium}/documents.parquet' ORDER BY doc_id").fetchall()
+    made = [(10**6 + i, "xx", "one" if i % 3 else "two", t) for i, (_, _, _, t) in enumerate(given) if t]
+    rows_ = given + made + [(2 * 10**6, "xx", "one", "### " * 300), (2 * 10**6 + 1, None, None, given[0][3])]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows_, "doc_id long, lang string, source string, text string")).collect()}
+    want = dict(zip([r[0] for r in rows_], brute.kept([r[1:] for r in rows_])))
+    assert sum(len([r for r in rows_ if r[1:3] == g]) > 250 for g in {r[1:3] for r in rows_}) >= 2
+    for i, (keep, d2) in want.items():
+        assert got[i]["kept"] == keep
+        if d2 is not None:
+            assert got[i]["distance2"] == pytest.approx(d2, rel=1e-6, abs=1e-9)
+    assert not got[2 * 10**6]["kept"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, medium, name):
     db = duckdb.connect()
