@@ -74,7 +74,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: i
     """Documents as pieces of at most ``window`` ids (binary, little-endian unsigned 32-bit).
 
     ``vocabulary`` is a byte-level BPE in the tokenizers library's JSON form, a path on every
-    machine. Its merges are applied by tiktoken, which gives the same ids several times faster.
+    machine; the ids are those of its ``encode(text, add_special_tokens=False)``. A null text is
+    empty, a document of the end id alone; a null id stays null; repeated rows are cut each.
     """
     schema = _arrow_schema(docs.sparkSession, _PIECES)
 
@@ -101,19 +102,27 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: i
 
 
 def encoder(vocabulary: str):
-    """A function from text to ids, equal to the tokenizers library's for a byte-level BPE whose ids follow its merges."""
+    """A function from text to ids, those of the tokenizers library for a byte-level BPE whose ids follow its merges.
+
+    tiktoken applies the merges several times faster; texts that spell an added token, which the
+    library takes out before it splits a text, go to the library itself.
+    """
     import json
 
     import tiktoken
 
+    from tokenizers import Tokenizer
+
     with open(vocabulary, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        spec = json.load(f)
+    model, added = spec["model"], [t["content"] for t in spec["added_tokens"]]
     # The format's alphabet: printable Latin-1 bytes stand for themselves, the others for 256 and up, in order.
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if not w.startswith("<|")}
+    ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if w not in set(added)}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast, slow = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, Tokenizer.from_file(vocabulary)
+    return lambda text: slow.encode(text, add_special_tokens=False).ids if any(t in text for t in added) else fast(text)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", carry: tuple = ("ids",)) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, langid, line_dedup, mixing, neighbours, ngram_join, packing, pii, quality, suffix_tree
 from .common import crc_mod, read, stage, words_of
 
-VOCABULARY = os.environ.get("EDITSCAN_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

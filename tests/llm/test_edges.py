@@ -129,11 +129,26 @@ def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     enc, rng = packing.encoder(VOCABULARY), random.Random(0)
     texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x24F), rng.randrange(0x4E00, 0x4F00), 0x1F600, 10, 32, 0x3000])) for _ in range(rng.randint(0, 60))) for _ in range(500)]
-    for x in [*texts, "<|endoftext|>", "it's  I'll \n\n x"]:
+    for x in [*texts, "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|", "x<|endoftext|><|endoftext|>\ny", "it's  I'll \n\n x"]:
         assert enc(x) == t.encode(x, add_special_tokens=False).ids
+    assert 50256 in enc("a <|endoftext|> b")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_a_window_is_filled_closest_to_capacity(seed):
+    """The longest length is taken, and no choice of the others fills the window better."""
+    rng = random.Random(seed)
+    capacity = rng.randint(5, 40)
+    counts = {rng.randint(1, capacity): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+    took = packing.fill(counts, capacity)
+    longest = max(counts)
+    sums = {longest}
+    for x, n in counts.items():
+        sums = {s + k * x for s in sums for k in range(n - (x == longest) + 1) if s + k * x <= capacity}
+    assert took[longest] >= 1 and all(0 < n <= counts[x] for x, n in took.items())
+    assert sum(x * n for x, n in took.items()) == max(sums)
 
 
 def test_plan_uses_each_piece_once():

@@ -75,7 +75,6 @@ def packs_exactly(docs, got):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x, *_ in docs}
     tokens, want, seqs = Counter(), Counter(), defaultdict(list)
     for d in docs:

@@ -119,7 +119,6 @@ def test_op8(spark, small):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x in docs_of(small)}
     got, seqs = rows(queries.op8_minimum_bin_slack(spark, small)), defaultdict(list)
     parts = defaultdict(list)
