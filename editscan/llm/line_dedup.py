@@ -2,7 +2,8 @@
 
 For each host: pages that contain a line, over all pages of the host. Lines above the ratio are
 boilerplate and go. A host can have no more than (its lines / its pages) / ratio such lines, so
-they travel to its pages as one small array, and no page is taken apart and put together again.
+these, and no others, travel to its pages as one array, and no page is taken apart and put
+together again.
 """
 
 from __future__ import annotations
@@ -44,12 +45,11 @@ def drop_site_boilerplate(pages: DataFrame, host: str, text: str, ratio: float =
     """
     key = F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit(""))
     bare = F.filter(F.transform(F.split(F.col(text), "\n"), _bare), lambda x: x != "")
-    keyed = pages.select(key.alias("_h"), F.array_distinct(F.transform(bare, lambda x: F.xxhash64(x))).alias("_l"))
-    # A row of 0 for the page itself, so that one pass counts pages and lines.
-    marks = keyed.select("_h", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("page"), F.lit(0).cast("long").alias("line"))), F.transform(F.coalesce("_l", F.array().cast("array<bigint>")), lambda x: F.struct(F.lit(False).alias("page"), x.alias("line"))))).alias("m")).select("_h", "m.*")
-    counts = marks.groupBy("_h", "page", "line").agg(F.count("*").alias("n")).where(F.col("page") | (F.col("n") >= min_pages))
-    hosts = counts.groupBy("_h").agg(F.max(F.when(F.col("page"), F.col("n"))).alias("pages"), F.collect_list(F.when(~F.col("page"), F.struct("line", "n"))).alias("lines"))
-    boiler = hosts.select("_h", F.transform(F.filter("lines", lambda x: x["n"] > F.col("pages") * ratio), lambda x: x["line"]).alias("_b")).where(F.size("_b") > 0)
+    lines = pages.select(key.alias("_h"), F.explode(F.array_distinct(F.transform(bare, lambda x: F.xxhash64(x)))).alias("line"))
+    counts = lines.groupBy("_h", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    hosts = pages.select(key.alias("_h")).groupBy("_h").agg(F.count("*").alias("pages"))
+    # Only lines above the ratio come together: a host's lines a page over the ratio at most.
+    boiler = counts.join(hosts, "_h").where(F.col("n") > F.col("pages") * ratio).groupBy("_h").agg(F.collect_list("line").alias("_b"))
     # Staged, its size is known: where it is small Spark broadcasts it and the texts stay where they are, else it joins by shuffle.
     # The given columns travel as one, so that none can clash with those made here.
     rows = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("row"), key.alias("_h"), F.col(text).alias("_t"))
