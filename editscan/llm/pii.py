@@ -3,7 +3,7 @@
 Strict patterns give base spans; looser ones give candidates. Four labelers vote -1, 0 or 1 on
 each candidate: its pattern, a gazetteer (of top-level domains, issuers, areas, given names),
 the words before it and its edges. Votes are counted by pattern, of which there are at most
-7 kinds x 3^4, whatever the corpus; on those counts expectation-maximisation estimates each
+9 kinds x 3^4, whatever the corpus; on those counts expectation-maximisation estimates each
 labeler's reliability per class, and a logistic span classifier is trained on the posteriors. It
 decides about loose candidates; base spans always stay.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "email_masked", "phone_local", "name")
+KINDS = (*BASE, "email_masked", "phone_local", "name", "card_like", "secret")
 VOTES = ("v_pattern", "v_gazetteer", "v_context", "v_edges")
 
 # The contract's patterns with possessive repeats and run starts, which change no match but keep long runs linear.
@@ -31,29 +31,60 @@ PATTERNS = {
     "email_masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\(\[]at[\)\]] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\(\[]dot[\)\]] ?)[A-Za-z0-9-]{1,63}){1,4}",
     "phone_local": r"(?<![+0-9.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof)\. \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
+    "card_like": r"(?<![0-9])[0-9]{14,19}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}+",
 }
+# What a text must hold to have a match at all.
 _GATES = {"email": "@", "phone": "+", "email_masked": "at"}
+_SIGNS = {"name": r"(?:Mr|Mrs|Ms|Dr|Prof)\. ", "ip": r"[0-9]\.[0-9]", "phone_local": "[0-9]{3}[.-][0-9]{4}", "card_like": "[0-9]{14}", "secret": "[A-Za-z0-9_]{24}"}
 # Gazetteers: fixed values.
 _TLDS = r"(?i)\.(com|org|net|edu|gov|info|biz|io|de|fr|es|it|uk|eu|ch|at|nl|be)$"
 _NAMES = r"(?i) (john|mary|james|anna|peter|paul|maria|thomas|david|michael|sarah|laura|marie|hans|jean|jose|carlos|luis|ana|pierre)\b"
 _CUES = r"(?i)(mail|contact|call|tel|phone|fax|mobile|whatsapp|card|visa|credit|account|host|server|address|from|name|dear|signed)[^\p{L}\p{N}]*$"
 _NOT_CUES = r"(?i)(version|v|section|chapter|isbn|page|order|token|hash|id|no|build|release|figure|licen[cs]e)[^\p{L}\p{N}]*$"
 
+_SECRET_CUES = r"(?i)(token|key|secret|password|passwd|pwd|credential|auth|bearer)[\"']?[\x20]{0,2}[:=]?[\x20]{0,2}[\"']?$"
+_SECRET_NOT_CUES = r"(?i)(commit|revision|rev|checksum|digest|hash|md5|sha1|sha256|build|id)[\"']?[\x20]{0,2}[:=]?[\x20]{0,2}[\"']?$"
+
 _SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,v_pattern:int,v_gazetteer:int,v_context:int,v_edges:int>>"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once: a lambda's body would work it out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+_RUN = 256
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array up to each element, in runs, so that no long array grows element by element."""
+    none = F.array().cast("array<int>")
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    sums = lambda a, start: F.aggregate(a, F.struct(start.alias("at"), none.alias("out")), step)["out"]
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda b: F.slice(v, b * _RUN + 1, F.lit(_RUN)))
+    total = lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + x)
+
+    def joined(runs):
+        ends = sums(F.transform(runs, total), F.lit(0))
+        return F.flatten(F.zip_with(runs, F.concat(F.array(F.lit(0)), ends), lambda r, start: F.when(r.isNull(), none).otherwise(sums(r, start))))
+
+    return F.when(F.size(values) > 0, _let(values, lambda v: _let(cut(v), joined))).otherwise(none)
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """Matches as array<struct<m, start, left, right>>: places in code points, text on both sides."""
-    segments, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Matches as array<struct<m, start, left, right>>: places in code points, text on both sides. Linear in the text."""
     empty = F.array().cast("array<struct<m:string,start:int,left:string,right:string>>")
+    # A piece is the text before a match, and the match; the last has none.
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.right(gap, F.lit(24)).alias("left"), F.left(gap, F.lit(1)).alias("first")))
 
-    def step(acc, i):
-        seg, hit = F.get(segments, i), F.get(hits, i)
-        start = acc["at"] + F.length(seg)
-        found = F.struct(hit.alias("m"), start.alias("start"), F.right(seg, F.lit(24)).alias("left"), F.left(F.get(segments, i + 1), F.lit(1)).alias("right"))
-        return F.struct((start + F.length(hit)).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def placed(v):
+        ends = running_sums(F.transform(v, lambda x: x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))))
+        after = F.slice(F.transform(v, lambda x: x["first"]), F.lit(2), F.size(v))
+        both = F.zip_with(F.zip_with(v, ends, lambda x, end: F.struct(x.alias("x"), end.alias("end"))), after, lambda y, right: F.struct(y["x"]["m"].alias("m"), (y["end"] - F.length(y["x"]["m"])).alias("start"), y["x"]["left"].alias("left"), right.alias("right")))
+        return F.filter(both, lambda x: x["m"].isNotNull())
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+    return F.coalesce(_let(pieces, placed), empty)
 
 
 def luhn(digits: Column) -> Column:
@@ -82,6 +113,8 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when((n >= 14) & (n <= 19), luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(10, 15)
+    if kind == "secret":
+        return m.rlike("(?:[0-9][^0-9]*+){4}") & m.rlike("(?:[A-Za-z][^A-Za-z]*+){4}")
     return F.lit(True)
 
 
@@ -89,6 +122,7 @@ def _gazetteer(kind: str, m: Column) -> Column:
     yes = {
         "email": m.rlike(_TLDS), "email_masked": m.rlike(r"(?i)(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$"), "ip": ~m.rlike(r"^0*(0|10|127|2[2-5][0-9])\."),
         "card": m.rlike("^[3-6]"), "phone": m.rlike(r"^\+[1-9]"), "phone_local": m.rlike(r"^\(?[2-9]"), "name": m.rlike(_NAMES),
+        "card_like": m.rlike("^[3-6]"), "secret": m.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).*)$"),
     }[kind]
     return F.when(yes, 1).otherwise(0 if kind == "name" else -1)
 
@@ -97,7 +131,7 @@ def candidates(text: Column) -> Column:
     """All candidate spans of a text with their votes, by start and kind; null text has none."""
     t, all_ = F.coalesce(text, F.lit("")), []
     for kind in KINDS:
-        gate = F.contains(t, F.lit(_GATES[kind])) if kind in _GATES else t.rlike("(?:Mr|Mrs|Ms|Dr|Prof)\\. ") if kind == "name" else t.rlike(r"[0-9]\.[0-9]" if kind == "ip" else "[0-9]{3}[.-][0-9]{4}" if kind == "phone_local" else "[0-9]")
+        gate = F.contains(t, F.lit(_GATES[kind])) if kind in _GATES else t.rlike(_SIGNS.get(kind, "[0-9]"))
         found = _located(t, PATTERNS[kind])
         all_.append(F.when(gate, F.transform(F.filter(found, _checks(kind)), _voter(kind))).otherwise(F.array().cast(_SPAN)))
     return F.concat(*all_)
@@ -109,7 +143,8 @@ def _checks(kind: str):
 
 def _voter(kind: str):
     def vote(x):
-        context = F.when(x["left"].rlike(_CUES), 1).when(x["left"].rlike(_NOT_CUES), -1).otherwise(0)
+        yes, no = (_SECRET_CUES, _SECRET_NOT_CUES) if kind == "secret" else (_CUES, _NOT_CUES)
+        context = F.when(x["left"].rlike(yes), 1).when(x["left"].rlike(no), -1).otherwise(0)
         glued = x["left"].rlike(r"[\p{L}\p{N}_]$") | x["right"].rlike(r"^[\p{L}\p{N}_]")
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.lit(kind in BASE).alias("base"), F.lit(int(kind in BASE)).alias("v_pattern"), _gazetteer(kind, x["m"]).alias("v_gazetteer"), context.alias("v_context"), F.when(glued, -1).otherwise(1).alias("v_edges"))
 

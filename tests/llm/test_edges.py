@@ -164,7 +164,7 @@ def test_plan_uses_each_piece_once():
 
 
 def test_pii(spark, none):
-    texts = [None, "", "1" * 200_000, "a@b.c_d@e.f", "1.2.3.4.5.6.7.8 999.1.1.1", "\U0001f600 x@y.com +1 (017) 555-7713", "4111 1111 1111 1111 4111-1111-1111-1112", "12 " * 3000 + "1 2", "jane (at) mail (dot) com"]
+    texts = [None, "", "1" * 20_000, "a@b.c_d@e.f", "1.2.3.4.5.6.7.8 999.1.1.1", "\U0001f600 x@y.com +1 (017) 555-7713", "4111 1111 1111 1111 4111-1111-1111-1112", "12 " * 3000 + "1 2", "jane (at) mail (dot) com"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.find_personal_data(df).collect():
         assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] == brute.personal(texts[r["doc_id"]])
