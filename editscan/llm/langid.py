@@ -3,7 +3,7 @@
 A known word scores its log frequency in each language. An unseen word falls back to its
 character n-grams of the longest length any of which is known, then to shorter ones.
 The model is fitted on a bounded, hash-chosen sample of the labelled rows (``max_docs`` a
-language, at most ``max_words`` and ``max_grams`` entries by count), so its size has a proven bound.
+language, at most ``max_words`` and ``max_grams`` entries a language), so its size has a proven bound.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, release, slices, stage, words_of
@@ -37,9 +37,15 @@ class Model:
     longest: int
 
 
-def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_docs: int = 8000, max_langs: int = 200, max_words: int = 100_000, max_grams: int = 50_000, longest: int = 4) -> Model:
-    """Learns from rows with a language. The sample takes about ``max_docs`` documents of each language, by hash of id."""
-    src = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)).alias("h"))
+def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_docs: int = 8000, max_langs: int = 200, max_words: int = 30_000, max_grams: int = 15_000, least: int = 2, longest: int = 4) -> Model:
+    """Learns from rows with a language and a text; null languages and texts teach nothing, and no rows give an empty model.
+
+    The sample takes about ``max_docs`` documents of each language, by hash of id and text. Of
+    each language's words and n-grams seen ``least`` times or more in the sample, the
+    ``max_words`` and ``max_grams`` most frequent are known (ties by code point); the method
+    backs off from the others. More than ``max_langs`` languages are an error: none is left out.
+    """
+    src = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)).alias("h"))
     n = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs + 1).collect()}
     if len(n) > max_langs:
         raise ValueError(f"more than {max_langs} languages; raise max_langs, none is left out")
@@ -47,20 +53,28 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str
     if not langs:
         return Model([], {}, np.empty((0, 0)), {}, np.empty((0, 0)), longest)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(math.ceil(min(1.0, max_docs / n[k]) * (1 << 20))))])
-    sample = src.where(F.col("lang").isin(langs)).where(F.col("h") < share[F.col("lang")])
+    sample = src.where(F.col("h") < share[F.col("lang")])
     word = F.regexp_replace(F.lower("w"), r"^[^\p{L}]+|[^\p{L}]+$", "")
     words = sample.select("lang", F.explode(words_of(F.col("text"))).alias("w")).select("lang", word.alias("w")).where("w <> ''").groupBy("w", "lang").agg(F.count("*").alias("n"))
     words = stage(words, "words")
 
     def top(counts: DataFrame, key: str, most: int) -> tuple[dict[str, int], np.ndarray]:
-        each = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)) for k in langs]
-        best = counts.groupBy(key).agg(F.sum("n").alias("all"), F.array(*each).alias("by")).where("all > 1").orderBy(F.desc("all"), key).limit(most).select(key, "by").toArrow()
-        c = np.array(best.column("by").combine_chunks().flatten(), np.float64).reshape(-1, len(langs))
-        return {w: i for i, w in enumerate(best.column(key).to_pylist())}, np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1)))
+        each = Window.partitionBy("lang").orderBy(F.desc("n"), key)
+        often = counts.groupBy(key).agg(F.sum("n").alias("all")).where(F.col("all") >= least).select(key)
+        chosen = counts.join(often, key, "left_semi").withColumn("r", F.row_number().over(each)).where(F.col("r") <= most).select(key).distinct()
+        best = counts.join(chosen, key, "left_semi").toArrow()
+        index = {w: i for i, w in enumerate(sorted(set(best.column(key).to_pylist())))}
+        c = np.zeros((len(index), len(langs)))
+        for w, k, m in zip(*(best.column(x).to_pylist() for x in (key, "lang", "n"))):
+            c[index[w], langs.index(k)] = m
+        return index, np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1)))
 
     marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
-    grams = words.where(F.length("w") <= 40).select("lang", "n", F.explode(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (g - 1), F.lit(1))), lambda i, g=g: F.substring(marked, i, F.lit(g))) for g in range(1, longest + 1)]))).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
-    return Model(langs, *top(words, "w", max_words), *top(grams, "g", max_grams), longest)
+    # Spark hands a lambda of two arguments an element's place, so the length is bound from outside.
+    piece = lambda g: lambda i: F.substring(marked, i, F.lit(g))
+    cut = lambda g: F.when(F.length(marked) >= g, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (g - 1), F.lit(1))), piece(g))).otherwise(F.array().cast("array<string>"))
+    grams = words.select("lang", "n", F.explode(F.flatten(F.array(*[cut(g) for g in range(1, longest + 1)]))).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
+    return Model(langs, *top(words, "w", max_words), *top(stage(grams, "grams"), "g", max_grams), longest)
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:

@@ -159,3 +159,41 @@ def kept(rows, h=0.75, steps=4, prior=50.0, cutoff=1e-6):
         d2 = far(vecs[k : k + 1], (shape[0], shape[1] * grow))[0]
         out.append((bool(d2 <= chi2_quantile(1 - cutoff, p)), d2))
     return out
+
+
+def languages(train, docs, longest=4):
+    """(language, score) of each text of docs, learned from (lang, text) pairs; every word and n-gram seen twice is known."""
+    edge = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+    clean = lambda t: [w for w in (edge.sub("", w.lower()) for w in WORD.findall(t)) if w]
+    names = sorted({k for k, t in train if k is not None and t is not None})
+    words, grams = {k: Counter() for k in names}, {k: Counter() for k in names}
+    cut = lambda w, g: [f"^{w}$"[i : i + g] for i in range(len(w) + 3 - g)]
+    for k, t in train:
+        for w in clean(t or "") if k is not None else ():
+            words[k][w] += 1
+            for g in range(1, longest + 1):
+                grams[k].update(cut(w, g))
+
+    def table(counts):
+        total = sum(counts.values(), Counter())
+        known = {x for x, n in total.items() if n > 1}
+        size = {k: sum(n for x, n in c.items() if x in known) for k, c in counts.items()}
+        return known, lambda x: [math.log((counts[k][x] + 0.5) / (size[k] + 0.5 * (len(known) + 1))) for k in names]
+
+    (known_words, word_logs), (known_grams, gram_logs) = table(words), table(grams)
+    out = []
+    for t in docs:
+        if t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        total = [0.0] * len(names)
+        for w in clean(t):
+            rows = [word_logs(w)] if w in known_words else []
+            for g in range(longest, 0, -1):
+                rows = rows or [gram_logs(x) for x in cut(w, g) if x in known_grams]
+            if rows:
+                logs = [sum(c) / len(rows) for c in zip(*rows)]
+                total = [a + b - sum(logs) / len(logs) for a, b in zip(total, logs)]
+        best = max(range(len(names)), key=lambda k: (total[k], -k))
+        out.append((names[best], 1 / sum(math.exp(min(0.0, x - total[best])) for x in total)))
+    return out
