@@ -161,8 +161,8 @@ def kept(rows, h=0.75, steps=4, prior=50.0, cutoff=1e-6):
     return out
 
 
-def languages(train, docs, longest=4):
-    """(language, score) of each text of docs, learned from (lang, text) pairs; every word and n-gram seen twice is known."""
+def languages(train, docs, longest=4, max_words=30_000, max_grams=15_000):
+    """(language, score) of each text of docs, learned from (lang, text) pairs: of words and n-grams seen twice the most frequent of each language are known."""
     edge = re.compile(r"^[\W\d_]+|[\W\d_]+$")
     clean = lambda t: [w for w in (edge.sub("", w.lower()) for w in WORD.findall(t)) if w]
     names = sorted({k for k, t in train if k is not None and t is not None})
@@ -174,13 +174,14 @@ def languages(train, docs, longest=4):
             for g in range(1, longest + 1):
                 grams[k].update(cut(w, g))
 
-    def table(counts):
+    def table(counts, most):
         total = sum(counts.values(), Counter())
-        known = {x for x, n in total.items() if n > 1}
+        often = {k: sorted((-n, x) for x, n in c.items() if total[x] > 1)[:most] for k, c in counts.items()}
+        known = {x for top in often.values() for _, x in top}
         size = {k: sum(n for x, n in c.items() if x in known) for k, c in counts.items()}
         return known, lambda x: [math.log((counts[k][x] + 0.5) / (size[k] + 0.5 * (len(known) + 1))) for k in names]
 
-    (known_words, word_logs), (known_grams, gram_logs) = table(words), table(grams)
+    (known_words, word_logs), (known_grams, gram_logs) = table(words, max_words), table(grams, max_grams)
     out = []
     for t in docs:
         if t is None or not any(c.isalpha() for c in t):

@@ -18,10 +18,11 @@ def test_predictions(spark, small):
     rows += [(10**6, None, "zzqx zzqy zz"), (10**6 + 1, None, "12 --"), (10**6 + 2, "en", None)]
     train = [r for r in rows if brute.crc(r[0], 5)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    model = langid.fit(spark.createDataFrame(train, docs.schema), max_words=10**6, max_grams=10**6)
-    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
-    for (i, _, _), (lang, score) in zip(rows, brute.languages([r[1:] for r in train], [r[2] for r in rows])):
-        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-9)
+    for limits in ({}, {"max_words": 900, "max_grams": 300}):
+        model = langid.fit(spark.createDataFrame(train, docs.schema), **limits)
+        got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+        for (i, _, _), (lang, score) in zip(rows, brute.languages([r[1:] for r in train], [r[2] for r in rows], **limits)):
+            assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-9)
 
 
 def test_small_languages_keep_their_words(spark):
