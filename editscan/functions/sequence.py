@@ -83,6 +83,16 @@ def cigar_blocks(cigar: Column) -> Column:
     return F.aggregate(cigar_ops(cigar), F.struct(zero.alias("q"), zero.alias("r"), zero.alias("j"), empty.alias("out")), step)["out"]
 
 
+def matched_blocks(cigar: Column) -> Column:
+    """array<struct<n, q, r>> of the runs of M, = and X bases."""
+    zero = F.lit(0).cast("bigint")
+    run = lambda n, q, r: F.struct(n.alias("n"), q.alias("q"), r.alias("r"))
+    general = F.transform(F.filter(cigar_blocks(cigar), lambda x: F.contains(F.lit("M=X"), x["op"]) & (x["n"] > 0)), lambda x: run(x["n"], x["q"], x["r"]))
+    # One run of matches, by far the most common, needs no fold.
+    n = F.nullif(F.regexp_extract(F.coalesce(cigar, F.lit("")), r"^(\d+)[M=X]$", 1), F.lit("")).cast("bigint")
+    return F.when(n > 0, F.array(run(n, zero, zero))).otherwise(general)
+
+
 def one_hot(seq: Column) -> Column:
     """A row of four per base in the order A, C, G, T; any other base is all zero."""
     return F.transform(F.filter(F.split(F.upper(seq), ""), lambda b: b != ""), lambda b: F.array(*[(b == x).cast("int") for x in BASES]))

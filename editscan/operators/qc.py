@@ -9,9 +9,9 @@ from ..functions.sequence import BASES, is_edit, ratio, reverse_complement
 from .fragments import KEY, merged_bases
 
 
-def fragment_stats(reads: DataFrame, ref: DataFrame, min_mapq: int = 20, min_baseq: int = 20) -> DataFrame:
+def fragment_stats(reads: DataFrame, chunks: DataFrame, min_mapq: int = 20, min_baseq: int = 20) -> DataFrame:
     """Per fragment: ct, ga, edits, editable (C or G), aligned bases and mismatches that are no edits; only A, C, G and T count, on both sides."""
-    b = merged_bases(reads, min_mapq, min_baseq).join(ref, ["chrom", "pos"]).where(F.col("base").isin(*BASES) & F.col("ref").isin(*BASES))
+    b = merged_bases(reads, min_mapq, min_baseq, chunks, ref_in=BASES).where(F.col("base").isin(*BASES))
     edit = is_edit(F.col("ref"), F.col("base"))
     return b.groupBy(*KEY).agg(F.count_if(edit & (F.col("ref") == "C")).alias("ct"), F.count_if(edit & (F.col("ref") == "G")).alias("ga"), F.count_if(F.col("ref").isin("C", "G")).alias("editable"), F.count_if((F.col("ref") != F.col("base")) & ~edit).alias("other"), F.count("*").alias("aligned")).withColumn("edits", F.col("ct") + F.col("ga"))
 
@@ -60,9 +60,9 @@ def zero_edit_strata(stats: DataFrame) -> DataFrame:
     return spine(stats.sparkSession, 6).join(n, "bin", "left").select(F.get(F.array(*map(F.lit, labels)), F.col("bin").cast("int")).alias("stratum"), F.coalesce("fragments", F.lit(0)).alias("fragments"), F.coalesce("zero", F.lit(0)).alias("zero_edit"))
 
 
-def site_counts(reads: DataFrame, ref: DataFrame, min_mapq: int = 20, min_baseq: int = 20) -> DataFrame:
+def site_counts(reads: DataFrame, chunks: DataFrame, min_mapq: int = 20, min_baseq: int = 20) -> DataFrame:
     """chrom, pos, edits and opportunities of C and G; contexts and motifs need no more than this per-base table."""
-    b = merged_bases(reads, min_mapq, min_baseq).join(ref.where("ref in ('C', 'G')"), ["chrom", "pos"]).where(F.col("base").isin(*BASES))
+    b = merged_bases(reads, min_mapq, min_baseq, chunks, ref_in=("C", "G")).where(F.col("base").isin(*BASES))
     return b.groupBy("chrom", "pos", "ref").agg(F.count_if(is_edit(F.col("ref"), F.col("base"))).alias("edits"), F.count("*").alias("opportunities"))
 
 

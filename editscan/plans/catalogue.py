@@ -150,18 +150,18 @@ def mate_can_pair(s, d):
 
 @query(f"WITH {_B} SELECT chrom, p AS pos, base, rb AS ref, count(*) n FROM e WHERE ed GROUP BY ALL")
 def edit_calls(s, d):
-    b = fragments.merged_bases(synth.reads(s, d)).join(synth.reference_bases(s), ["chrom", "pos"])
+    b = fragments.merged_bases(synth.reads(s, d), chunks=synth.chunks(s), ref_in=("C", "G"))
     return b.where(fx.is_edit(F.col("ref"), F.col("base"))).groupBy("chrom", "pos", "base", "ref").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_B} SELECT chrom, p AS pos, count(*) AS value FROM e WHERE ed GROUP BY chrom, p")
 def edit_count_track(s, d):
-    return tracks.edit_counts(synth.reads(s, d), synth.reference_bases(s))
+    return tracks.edit_counts(synth.reads(s, d), synth.chunks(s))
 
 
 @query(f"WITH {_B}, {_MG} SELECT e.chrom, p AS pos, count(*) AS value FROM e JOIN mg ON e.chrom = mg.chrom AND p >= a AND p < z WHERE ed GROUP BY ALL")
 def edit_count_regions(s, d):
-    return tracks.in_regions(edit_count_track(s, d), _merged(s, d)).select("chrom", "pos", "value")
+    return tracks.edit_counts(synth.reads(s, d), synth.chunks(s), regions=_merged(s, d))
 
 
 def _extended(base: str) -> str:
@@ -170,17 +170,17 @@ def _extended(base: str) -> str:
 
 @query(f"WITH {_B}, {_MG}" + _extended("SELECT chrom, p, count(*) value FROM e WHERE ed GROUP BY ALL"))
 def edit_count_extended(s, d):
-    return tracks.extend(tracks.in_regions(edit_count_track(s, d), _merged(s, d)), 3)
+    return tracks.extend(tracks.in_regions(edit_count_regions(s, d), _merged(s, d)), 3)
 
 
 @query(f"WITH {_B} SELECT chrom, p AS pos, count(*) AS coverage FROM e WHERE base IN ('A','C','G','T') GROUP BY chrom, p")
 def coverage_track(s, d):
-    return tracks.base_counts(synth.reads(s, d), synth.reference_bases(s)).where("coverage > 0").select("chrom", "pos", "coverage")
+    return tracks.base_counts(synth.reads(s, d), synth.chunks(s)).where("coverage > 0").select("chrom", "pos", "coverage")
 
 
 @query(f"WITH {_B} SELECT chrom, p AS pos, round(CAST(count(*) FILTER (ed) AS DOUBLE) / count(*), 9) AS value FROM e GROUP BY chrom, p HAVING count(*) >= 2 AND count(*) FILTER (ed) > 0")
 def edit_ratio_track(s, d):
-    return longs(tracks.edit_ratio(synth.reads(s, d), synth.reference_bases(s), min_coverage=2))
+    return longs(tracks.edit_ratio(synth.reads(s, d), synth.chunks(s), min_coverage=2))
 
 
 @query(f"WITH {_B}, t AS (SELECT chrom, p, count(*) n FROM e WHERE ed GROUP BY ALL) SELECT chrom, p AS pos, round(n * 1e6 / (SELECT CAST(sum(n) AS BIGINT) FROM t), 9) AS value FROM t")
@@ -224,19 +224,19 @@ SELECT chrom, a AS start, z AS "end", coalesce(c2t, '.') c2t, coalesce(g2a, '.')
 
 @query(_table_sql("NULL"))
 def fragment_table(s, d):
-    return fragments.fragment_table(synth.reads(s, d), synth.reference_bases(s))
+    return fragments.fragment_table(synth.reads(s, d), synth.chunks(s))
 
 
 @query(_table_sql("CASE WHEN ok % 7 = 0 THEN NULL ELSE 'BC' || (ok % 5) END"))
 def fragment_table_barcode(s, d):
-    return fragments.fragment_table(synth.reads(s, d), synth.reference_bases(s), barcode_tag="CB")
+    return fragments.fragment_table(synth.reads(s, d), synth.chunks(s), barcode_tag="CB")
 
 
 # --- quality control
 
 
 def _stats(s, d):
-    return qc.fragment_stats(synth.reads(s, d), synth.reference_bases(s))
+    return qc.fragment_stats(synth.reads(s, d), synth.chunks(s))
 
 
 @query(f"WITH {_R}, x AS (SELECT count(*) n FROM pass GROUP BY chrom, f) SELECT count(*) fragments, count(*) FILTER (n = 2) from_pairs, count(*) FILTER (n = 1) single FROM x")
@@ -292,7 +292,7 @@ mc AS (SELECT CAST(h.i - 5 AS BIGINT) AS "offset", bs.base, count(lt.base) FILTE
 
 
 def _sites(s, d):
-    return qc.site_counts(synth.reads(s, d), synth.reference_bases(s))
+    return qc.site_counts(synth.reads(s, d), synth.chunks(s))
 
 
 @query(_CTX + " SELECT context, edits, opportunities, round(CAST(edits AS DOUBLE) / opportunities, 9) fraction FROM cx")

@@ -35,13 +35,11 @@ def genome_track(spark: SparkSession, bam: str, out: str, fasta: str | None = No
     if event == "tn5":
         track = tracks.cut_counts_in(records, where, min_mapq, plus_shift, minus_shift) if regions else tracks.cut_counts(records, contigs, min_mapq, plus_shift, minus_shift)
     else:
-        ref = sequences.bases(sequences.chunks(sequences.fasta(spark, fasta)))
-        track = tracks.edit_ratio(records, ref, min_mapq, min_baseq, min_coverage) if mode == "ratio" else tracks.edit_counts(records, ref, min_mapq, min_baseq)
+        ref, inside = sequences.chunks(sequences.fasta(spark, fasta)), where if regions else None
+        track = tracks.edit_ratio(records, ref, min_mapq, min_baseq, min_coverage, inside) if mode == "ratio" else tracks.edit_counts(records, ref, min_mapq, min_baseq, inside)
     if mode == "count" and extend:
         inside = tracks.in_regions(track, where) if regions else track.join(where, "chrom")
         track = tracks.extend(inside, extend)
-    elif regions:
-        track = tracks.in_regions(track, where).select("chrom", "pos", "value")
     if mode == "count" and normalize:
         track = tracks.normalize(stage(track, "track"), scale)
     bigwig.write(track, contigs, out)
@@ -75,7 +73,7 @@ def chosen_alignments(spark: SparkSession, sam: str, fasta: str, out: str) -> No
 
 def fragment_file(spark: SparkSession, bam: str, fasta: str, out: str, barcode_tag: str | None = None, compress: bool = False, min_mapq: int = 20, min_baseq: int = 20) -> None:
     records, contigs = _records(spark, bam)
-    ref = sequences.bases(sequences.chunks(sequences.fasta(spark, fasta)))
+    ref = sequences.chunks(sequences.fasta(spark, fasta))
     text.write_fragments(fragments.fragment_table(records, ref, min_mapq, min_baseq, barcode_tag), contigs, out, bool(barcode_tag), compress)
 
 
@@ -87,7 +85,7 @@ def quality(spark: SparkSession, bam: str, fasta: str, out: str, sample: str, ts
     fa = sequences.fasta(spark, fasta)
     rd.require_contigs(contigs, sequences.contigs(fa))
     pieces = stage(sequences.chunks(fa), "reference")
-    made = report.quality_report(records, sequences.bases(pieces), pieces, contigs, sample, text.tss(spark, tss) if tss else None, n_reads, min_mapq, min_baseq, flank, {"bam": bam, "fasta": fasta, "tss": tss})
+    made = report.quality_report(records, pieces, contigs, sample, text.tss(spark, tss) if tss else None, n_reads, min_mapq, min_baseq, flank, {"bam": bam, "fasta": fasta, "tss": tss})
     report.write_report(made, out, page, redact, portable)
     return made.metrics
 
