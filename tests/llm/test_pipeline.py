@@ -32,7 +32,7 @@ def without_site_lines(docs):
     out = []
     for i, text, lang, source, n in docs:
         lines = text.split("\n")
-        kept = [x for x in lines if not (bare(x) and seen[source, bare(x)] >= 3 and seen[source, bare(x)] > 0.1 * pages[source])]
+        kept = [x for x in lines if not (bare(x) and seen[source, bare(x)] >= 3 and seen[source, bare(x)] > 0.07 * pages[source])]
         new = "\n".join(kept)
         out.append((i, new, lang, source, len(new) if len(kept) < len(lines) else n))
     return out
