@@ -27,13 +27,14 @@ _CIGARS = "case (ok + ln) % 5 when 2 then '5S35M' when 3 then '20M2D20M' when 4
 def reads(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
     """Records of 40 bases, mates where both lines of an order exist; ``varied`` adds flags and CIGARs."""
     k = keys(spark, sf_dir)
-    ref = _REF.replace("p*", "(pos+i)*")
-    base = f"""case when (ok*7 + ln*5 + i*3) % 23 = 0 then substr('ACGT', cast(1 + (ok+i) % 4 as int), 1)
-      when (f*31 + (pos+i)*17) % 10 < 3 and {ref} = 'C' then 'T' when (f*31 + (pos+i)*17) % 10 < 3 and {ref} = 'G' then 'A' else {ref} end"""
+    # Bases as digits 0 to 3, the reference's first, so that each is worked out once.
+    ref = "((((pos+i)*7919 + ch*104729) % 10007) * (((pos+i)*31+17) % 1009)) % 4"
+    base = "case when (ok*7 + ln*5 + i*3) % 23 = 0 then (ok+i) % 4 when b in (1, 2) and (f*31 + (pos+i)*17) % 10 < 3 then if(b = 1, 3, 0) else b end"
+    seq = f"translate(array_join(cast(transform(transform(sequence(0L, 39L), i -> {ref}), (b, i) -> {base}) as array<string>), ''), '0123', 'ACGT')"
     return k.selectExpr(
         "file_ord", "concat('f', f) as qname", f"{_MORE if varied else _FLAG} as flag", "concat('chr', ch + 1) as chrom", "pos", "cast(mapq as int) as mapq", f"{_CIGARS if varied else repr('40M')} as cigar",
         "if(mated, concat('chr', ch + 1), null) as next_chrom", "if(mated, p0 + (1 - m) * gap, null) as next_pos", "if(mated, (gap + 40) * if(m = 0, 1, -1), 0) as tlen",
-        f"array_join(transform(sequence(0L, 39L), i -> {base}), '') as seq", f"{_QUAL} as qual", "if(ok % 7 = 0, map(), map('CB', concat('BC', ok % 5))) as tags",
+        f"{seq} as seq", f"{_QUAL} as qual", "if(ok % 7 = 0, map(), map('CB', concat('BC', ok % 5))) as tags",
     )
 
 
