@@ -28,7 +28,7 @@ from .common import Block, _arrow_schema, components, count_exchange, mix64, row
 ORDERS = 3
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
-_DDL = "rid long, doc_id long, n int, digest binary, clean int, toks array<long>, poss array<int>, others array<binary>, tokens binary"
+_DDL = "rid long, doc_id long, n int, digest binary, clean int, toks array<long>, poss array<int>, others array<array<long>>, tokens array<long>"
 
 
 def shingle_sets(x: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def _signatures(blocks: DataFrame, k: int, num: int, den: int, n_tokens: int) ->
                 for o in range(ORDERS):
                     at = np.lexsort((mix64(s + np.uint64(_ODD[o])), c))[u:p]
                     orders.append(s[at])
-                rows.append((*row, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), u, orders[0].view(np.int64).tolist(), list(range(u, p)), [np.sort(t).tobytes() for t in orders[1:]], s.tobytes()))
+                rows.append((*row, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), u, orders[0].view(np.int64).tolist(), list(range(u, p)), [t.view(np.int64) for t in orders[1:]], s.view(np.int64)))
         return pa.Table.from_batches([rows_to_batch(rows, schema)])
 
     got = count_exchange(blocks, keys_of, n_tokens)
@@ -106,24 +106,18 @@ def _signatures(blocks: DataFrame, k: int, num: int, den: int, n_tokens: int) ->
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under every other order and link."""
-    side = lambda s: sigs.select(F.col("rid").alias(s), F.col("others").alias(f"o{s}"), F.col("tokens").alias(f"t{s}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "oa", "ob", "ta", "tb")
-
-    def run(batches):
-        for t in batches:
-            keep = []
-            for r in range(t.num_rows):
-                oa, ob = t.column("oa")[r].as_py(), t.column("ob")[r].as_py()
-                arr = lambda v: np.frombuffer(v, np.uint64)
-                if all(len(np.intersect1d(arr(p), arr(q), assume_unique=True)) for p, q in zip(oa, ob)):
-                    a, b = arr(t.column("ta")[r].as_py()), arr(t.column("tb")[r].as_py())
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if den * both >= num * (len(a) + len(b) - both):
-                        keep.append(r)
-            yield pa.RecordBatch.from_arrays([t.column("a").take(pa.array(keep, pa.int64())), t.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-    return wide.mapInArrow(run, "a long, b long")
+    """The pairs (a, b) that share a prefix token under every other order, and then link.
+
+    Only prefixes travel to all pairs; whole sets join those that every order leaves.
+    """
+    short = lambda s: sigs.select(F.col("rid").alias(s), F.col("others").alias(f"o{s}"))
+    whole = lambda s: sigs.select(F.col("rid").alias(s), F.col("tokens").alias(f"t{s}"))
+    left = pairs.join(short("a"), "a").join(short("b"), "b")
+    for o in range(ORDERS - 1):
+        left = left.where(F.arrays_overlap(F.get("oa", F.lit(o)), F.get("ob", F.lit(o))))
+    both = F.size(F.array_intersect("ta", "tb"))
+    wide = left.select("a", "b").join(whole("a"), "a").join(whole("b"), "b").withColumn("both", both)
+    return wide.where(F.col("both") * den >= (F.size("ta") + F.size("tb") - F.col("both")) * num).select("a", "b")
 
 
 def ngram_jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
