@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import running_sums, stage
 
 OPEN, MID, CLOSE = "<turn ", ">\n", "</turn>\n"
 
@@ -30,7 +30,8 @@ def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
     """nodes (tree, node, parent) as members (tree, leaf, node, up): ``up`` steps above the leaf.
 
     A parent that is null or not in the tree makes a root. Nodes on a cycle, or below one, have
-    no root and no path. Ids are to be unique and not null within a tree; tree may be null.
+    no root and no path. Ids are to be unique and not null within a tree, as format_reply_trees
+    makes them; tree may be null.
     """
     n = stage(nodes.select(F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("")).alias("k"), "node", "parent"), "nodes")
     have = n.select("k", F.col("node").alias("parent"))
@@ -56,8 +57,11 @@ def format_reply_trees(messages: DataFrame, best: int | None = None) -> DataFram
     One row per chosen path: tree, leaf, rank, path_score (mean of the scores, null as 0),
     n_turns, formatted. Paths of a tree rank by score, then by leaf; ``best`` keeps the first
     so many (null: all). Null role or text is empty; empty texts are turns; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Rows of one node are one turn, the first by parent,
+    role, text and score, nulls first; a row without a node id is none.
     """
+    one = Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score")
+    messages = messages.where("node is not null").select("tree", "node", "parent", "role", "text", "score").withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
     tree_key = F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit(""))
     members = root_to_leaf_paths(messages)
     light = messages.select(tree_key.alias("k"), "node", F.coalesce("score", F.lit(0)).cast("double").alias("score"))
@@ -82,5 +86,6 @@ def read_back(formatted: Column) -> Column:
 
 def loss_mask(turns: Column, role: str = "assistant") -> Column:
     """Spans (start, end) in code points of the escaped texts of a role, in order."""
-    step = lambda acc, x: F.struct((acc["at"] + x["n"] + len(CLOSE)).alias("at"), F.concat(acc["spans"], F.when(x["role"] == role, F.array(F.struct((acc["at"] + x["n"] - F.length(x["raw"])).alias("start"), (acc["at"] + x["n"]).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))).alias("spans"))
-    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")), step)["spans"]
+    ends = running_sums(F.transform(turns, lambda x: x["n"] + len(CLOSE)))
+    spans = F.zip_with(turns, ends, lambda x, end: F.when(x["role"] == role, F.struct((end - len(CLOSE) - F.length(x["raw"])).alias("start"), (end - len(CLOSE)).alias("end"))))
+    return F.filter(spans, lambda x: x.isNotNull())

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -83,6 +83,29 @@ def words_of(col) -> F.Column:
     return F.array_remove(F.split(F.coalesce(col, F.lit("")), WORD_SPACE), "")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once: a lambda's body would work it out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+_RUN = 256
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array up to each element, in runs, so that no long array grows element by element."""
+    none = F.array().cast("array<int>")
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    sums = lambda a, start: F.aggregate(a, F.struct(start.alias("at"), none.alias("out")), step)["out"]
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda b: F.slice(v, b * _RUN + 1, F.lit(_RUN)))
+    total = lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + x)
+
+    def joined(runs):
+        ends = sums(F.transform(runs, total), F.lit(0))
+        return F.flatten(F.zip_with(runs, F.concat(F.array(F.lit(0)), ends), lambda r, start: F.when(r.isNull(), none).otherwise(sums(r, start))))
+
+    return F.when(F.size(values) > 0, let(values, lambda v: let(cut(v), joined))).otherwise(none)
+
+
 def crc_mod(id_col: str, mod: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 

@@ -23,11 +23,14 @@ def fair_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     """Adds target to (source, source_size): weights repeat over the sources by code point, null last, and share all sizes; targets stop at ``cap`` times a source's size, the excess reshared by weight.
 
     Sources are capped in order of cap/weight, so the level solves in closed form: the first k
-    such that the next source stays under what is left per weight.
+    such that the next source stays under what is left per weight. A null source is a source; a
+    null size counts as 0, and a source of size 0 has target 0; sources are to be distinct; an
+    empty table gives no rows.
     """
     one = Window.partitionBy(F.lit(1))
     by_name, by_ratio = one.orderBy(F.col("source").asc_nulls_last()), one.orderBy("ratio", F.col("source").asc_nulls_last())
     w = F.array(*[F.lit(x) for x in weights])
+    sizes = sizes.withColumn("source_size", F.coalesce("source_size", F.lit(0)))
     t = sizes.withColumn("w", F.get(w, (F.row_number().over(by_name) - 1) % len(weights)).cast("long"))
     t = t.withColumn("top", F.col("source_size") * cap).withColumn("ratio", F.col("top") / F.col("w"))
     upto = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -46,6 +49,8 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict, costs: tuple[
 
     patterns: (sources, words); each may give its words once at each cost (convex: ascending).
     Successive shortest augmenting paths, so the total is maximal and the repetition cost minimal.
+    Sources without a quota are to be left out of patterns; a pattern without sources or words, or
+    a quota of 0, gives nothing; no patterns give no rows. Ties go by the order given.
     """
     names = list(quotas)
     end, start = len(patterns) + len(names) + 1, len(patterns) + len(names)

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import let, running_sums, stage
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_masked", "phone_local", "name", "card_like", "secret")
@@ -49,29 +49,6 @@ _SECRET_NOT_CUES = r"(?i)(commit|revision|rev|checksum|digest|hash|md5|sha1|sha2
 _SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,v_pattern:int,v_gazetteer:int,v_context:int,v_edges:int>>"
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value worked out once: a lambda's body would work it out for each element."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-_RUN = 256
-
-
-def running_sums(values: Column) -> Column:
-    """Sums of an array up to each element, in runs, so that no long array grows element by element."""
-    none = F.array().cast("array<int>")
-    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
-    sums = lambda a, start: F.aggregate(a, F.struct(start.alias("at"), none.alias("out")), step)["out"]
-    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda b: F.slice(v, b * _RUN + 1, F.lit(_RUN)))
-    total = lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + x)
-
-    def joined(runs):
-        ends = sums(F.transform(runs, total), F.lit(0))
-        return F.flatten(F.zip_with(runs, F.concat(F.array(F.lit(0)), ends), lambda r, start: F.when(r.isNull(), none).otherwise(sums(r, start))))
-
-    return F.when(F.size(values) > 0, _let(values, lambda v: _let(cut(v), joined))).otherwise(none)
-
-
 def _located(text: Column, pattern: str) -> Column:
     """Matches as array<struct<m, start, left, right>>: places in code points, text on both sides. Linear in the text."""
     empty = F.array().cast("array<struct<m:string,start:int,left:string,right:string>>")
@@ -84,7 +61,7 @@ def _located(text: Column, pattern: str) -> Column:
         both = F.zip_with(F.zip_with(v, ends, lambda x, end: F.struct(x.alias("x"), end.alias("end"))), after, lambda y, right: F.struct(y["x"]["m"].alias("m"), (y["end"] - F.length(y["x"]["m"])).alias("start"), y["x"]["left"].alias("left"), right.alias("right")))
         return F.filter(both, lambda x: x["m"].isNotNull())
 
-    return F.coalesce(_let(pieces, placed), empty)
+    return F.coalesce(let(pieces, placed), empty)
 
 
 def luhn(digits: Column) -> Column:

@@ -13,24 +13,29 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a tree of those whose crc32 of the id is not 2 modulo 7; see suffix_tree.suffix_tree_scores for nulls and repeated rows."""
     docs = read(spark, sf_dir, "documents")
     return suffix_tree.suffix_tree_scores(docs, crc_mod("doc_id", 7) != 2)
 
 
 def op2_ngram_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked at 4-word shingles and a similarity of 0.85; see ngram_join.ngram_jaccard_components."""
     docs = read(spark, sf_dir, "documents")
     return ngram_join.ngram_jaccard_components(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all embeddings for each vec_id divisible by 50; see neighbours.nearest_neighbours."""
     return neighbours.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents; see quality.quality_rules."""
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed at the contract's weights; a null text has no words; see mixing.fair_targets and mixing.mix_sources."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("size"), "source")
     return mixed(stage(docs, "sizes")).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
@@ -47,6 +52,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 as chains of replies; see conversation_digests."""
     both = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -54,7 +60,11 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_digests(rows: DataFrame) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) as chains of replies, formatted and read back."""
+    """Conversations (conv_id, turn, role, text) as chains of replies, formatted and read back.
+
+    Turns go by number, nulls first, then by role and text; repeated rows are turns each. Null
+    conv_ids are one conversation; null role or text is empty; no rows give none.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     nodes = rows.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", "text")
     nodes = stage(nodes.select("tree", "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")), "messages")
@@ -67,6 +77,7 @@ def conversation_digests(rows: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' languages, learned from those whose crc32 of the id is not 0 modulo 5; see langid.fit and langid.predict."""
     docs = read(spark, sf_dir, "documents")
     return identified(docs, crc_mod("doc_id", 5) == 0)
 
@@ -77,11 +88,13 @@ def identified(docs: DataFrame, held_out) -> DataFrame:
 
 
 def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of at most 1024 ids; see packing.pack_documents."""
     docs = read(spark, sf_dir, "documents")
     return packing.pack_documents(docs, VOCABULARY, carry=(F.crc32("ids").alias("ids_crc32"),))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' spans as counts, digest and text; see pii.find_personal_data."""
     found = pii.find_personal_data(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
     n = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -90,6 +103,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' texts without lines that more than a fifth of their host's pages have; null urls are one host, null pages have no lines; see line_dedup.drop_site_boilerplate."""
     pages = read(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
     return line_dedup.drop_site_boilerplate(pages, "host", "text")
 

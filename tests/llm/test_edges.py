@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import itertools
 import random
 
 import brute
@@ -91,7 +92,61 @@ def test_mixing(docs, none):
 def test_min_cost_flow():
     flow = mixing.min_cost_flow([(("a",), 10), (("a", "b"), 10), ((), 5)], {"a": 12, "b": 25})
     assert sum(f.get("a", 0) for f in flow) == 12 and sum(f.get("b", 0) for f in flow) == 25
-    assert flow[0] == {"a": 10} or sum(flow[0].values()) <= 30
+    assert sum(flow[0].values()) <= 30 and flow[2] == {}
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_flow_is_the_cheapest_of_the_largest(seed):
+    """Overlapping sources: total and repetition cost against all integral flows."""
+    rng = random.Random(seed)
+    names, costs = ["a", "b"], (0, 1, 3)
+    patterns = [(tuple(p), rng.randint(0, 3)) for p in (["a"], ["a", "b"], ["b"])[: rng.randint(1, 3)]]
+    quotas = {s: rng.randint(0, 7) for s in names}
+    price = lambda used, words: sum(costs[u // words] for u in range(used))
+    best = None
+    ways = [[dict(zip(p, use)) for use in itertools.product(range(3 * n + 1), repeat=len(p)) if sum(use) <= 3 * n] for p, n in patterns]
+    for flow in itertools.product(*ways):
+        if all(sum(f.get(s, 0) for f in flow) <= quotas[s] for s in names):
+            got = (-sum(sum(f.values()) for f in flow), sum(price(sum(f.values()), n) for f, (_, n) in zip(flow, patterns) if n))
+            best = got if best is None else min(best, got)
+    flow = mixing.min_cost_flow(patterns, quotas)
+    assert all(sum(f.get(s, 0) for f in flow) <= quotas[s] for s in names)
+    assert (-sum(sum(f.values()) for f in flow), sum(price(sum(f.values()), n) for f, (_, n) in zip(flow, patterns) if n)) == best
+
+
+def test_mix_of_overlapping_sources(spark):
+    """What each membership pattern gives is what the flow says, to half a document; quotas are met from shared documents first used once."""
+    rng = random.Random(5)
+    rows = [(i, rng.randint(1, 9), [["x"], ["x", "y"], ["y"], ["y", "x", "y"], []][i % 5]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")
+    words = {}
+    for _, n, s in rows:
+        words[tuple(sorted(set(s)))] = words.get(tuple(sorted(set(s))), 0) + n
+    quotas = {"x": words["x",] + words["x", "y"] // 2, "y": words["y",] + words["x", "y"] // 4}
+    got, most = {}, 0
+    for r in mixing.mix_sources(docs, quotas).collect():
+        p = tuple(sorted(set(r["sources"])))
+        got[p] = got.get(p, 0) + r["size"] * r["repeats"]
+        most = max(most, r["repeats"])
+    assert most == 1 and got[()] == 0
+    order = sorted(words)
+    flow = dict(zip(order, mixing.min_cost_flow([(p, words[p]) for p in order], quotas)))
+    assert all(abs(got[p] - sum(flow[p].values())) <= 9 for p in order)
+    assert {s: sum(f.get(s, 0) for f in flow.values()) for s in quotas} == quotas and min(flow["x", "y"].values()) > 0
+
+
+def test_repeated_and_null_nodes(spark):
+    schema = "tree string, node long, parent long, role string, text string, score double, k int, up int, leaf string"
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "r", 1.0), ("t", None, 1, "user", "lost", 1.0), (None, 1, None, "user", "n", None), (None, 2, 1, None, None, None)]
+    got = {r["tree"]: r for r in chat.format_reply_trees(spark.createDataFrame([(*r, 1, 2, "x") for r in rows], schema)).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {"t": 2, None: 2}
+    assert got["t"]["formatted"] == "<turn user>\nq</turn>\n<turn assistant>\nr</turn>\n"
+
+
+def test_targets_at_the_edges(spark):
+    got = {r["source"]: r["target"] for r in mixing.fair_targets(spark.createDataFrame([(None, 10), ("a", 0), ("b", None), ("c", 30)], "source string, source_size long")).collect()}
+    assert got["a"] == got["b"] == 0 and got["c"] + got[None] == pytest.approx(40)
+    assert mixing.fair_targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
 
 
 def test_chat(spark):

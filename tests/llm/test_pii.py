@@ -7,6 +7,7 @@ import re
 import brute
 import pytest
 from editscan.llm import pii
+from editscan.llm.common import running_sums
 from pyspark.sql import functions as F
 
 
@@ -19,7 +20,7 @@ def test_many_hits_in_one_text(spark):
 def test_running_sums(spark):
     rng = random.Random(0)
     rows = [(i, [rng.randint(0, 9) for _ in range(n)]) for i, n in enumerate((0, 1, 255, 256, 257, 512, 700, 66_000))]
-    got = spark.createDataFrame(rows, "i int, v array<int>").select("i", pii.running_sums(F.col("v")).alias("s")).collect()
+    got = spark.createDataFrame(rows, "i int, v array<int>").select("i", running_sums(F.col("v")).alias("s")).collect()
     for r in got:
         total, want = 0, []
         for x in rows[r["i"]][1]:
