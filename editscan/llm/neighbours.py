@@ -36,6 +36,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Products of rows i of a with rows j of b, pair by pair."""
+    out = np.empty(len(i), np.float32)
+    for s in range(0, len(i), step):
+        out[s : s + step] = np.einsum("ij,ij->i", a[i[s : s + step]], b[j[s : s + step]])
+    return out
+
+
 def build_graph(points: DataFrame, degree: int = 24, rounds: int = 6) -> DataFrame:
     """points (shard, node, vec) as adjacency lists (shard, node, near array<long>), best first."""
     ddl = "shard long, node long, near array<long>, sims array<float>"
@@ -49,17 +57,18 @@ def build_graph(points: DataFrame, degree: int = 24, rounds: int = 6) -> DataFra
         lists = cands.column("cand").combine_chunks()
         src = np.repeat(np.searchsorted(node, np.asarray(cands.column("node"))), np.diff(np.asarray(lists.offsets)))
         dst = np.searchsorted(node, np.asarray(lists.flatten()))
-        hit = np.zeros((len(node), len(node)), bool)
-        hit[src, dst] = True
-        np.fill_diagonal(hit, False)
-        k, rows = min(degree, len(node) - 1), []
-        for a in range(0, len(node), 1024):
-            sims = np.where(hit[a : a + 1024], unit[a : a + 1024] @ unit.T, -2)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(sims, best, axis=1)
-            for r in range(len(sims)):
-                ok = top[r] > -2
-                rows.append((node[a + r], node[best[r][ok]], top[r][ok]))
+        # Only candidate pairs are scored, each once: a node's best come first in its stretch.
+        code = np.unique(src * len(node) + dst)
+        src, dst = code // len(node), code % len(node)
+        src, dst = src[src != dst], dst[src != dst]
+        sims = _dots(unit, src, unit, dst)
+        order = np.lexsort((dst, -sims, src))
+        src, dst, sims = src[order], dst[order], sims[order]
+        ends = np.searchsorted(src, np.arange(len(node) + 1))
+        best = np.arange(len(src)) - ends[src] < degree
+        src, dst, sims = src[best], dst[best], sims[best]
+        ends = np.searchsorted(src, np.arange(len(node) + 1))
+        rows = [(node[r], node[dst[x:y]], sims[x:y]) for r, (x, y) in enumerate(zip(ends, ends[1:]))]
         shard = vecs.column("home")[0].as_py() if vecs.num_rows else 0
         return pa.Table.from_arrays([pa.array([shard] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))], schema=schema) if rows else schema.empty_table()
 
@@ -113,9 +122,7 @@ def greedy_search(unit: np.ndarray, near: list[np.ndarray], queries: np.ndarray,
         code = np.unique(r[new] * n + t[new])
         r, t = code // n, code % n
         seen[r, t] = True
-        for a in range(0, len(r), 1 << 16):
-            x, y = r[a : a + (1 << 16)], t[a : a + (1 << 16)]
-            sims[x, y] = np.einsum("ij,ij->i", queries[x], unit[y])
+        sims[r, t] = _dots(queries, r, unit, t)
         live = live[ok.any(axis=1)]
     best = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
     return np.where(np.take_along_axis(sims, best, 1) > -2, best, -1), np.take_along_axis(sims, best, 1)
