@@ -46,49 +46,61 @@ def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int
 
 def build_graph(points: DataFrame, degree: int = 24, rounds: int = 6) -> DataFrame:
     """points (shard, node, vec) as adjacency lists (shard, node, near array<long>), best first."""
-    ddl = "shard long, node long, near array<long>, sims array<float>"
+    ddl = "shard long, node long, near array<long>, sims array<float>, fresh array<boolean>"
     schema = _arrow_schema(points.sparkSession, ddl)
 
     def improve(cands: pa.Table, vecs: pa.Table) -> pa.Table:
-        """Merges each node's candidates, an array per edge, by similarity."""
+        """Merges each node's candidates, an array per edge, into its list so far, by similarity."""
         node = np.asarray(vecs.column("node"))
         at = np.argsort(node)
-        node, unit = node[at], _unit(_matrix(vecs, "vec")[at]).astype(np.float32)
-        lists = cands.column("cand").combine_chunks()
-        src = np.repeat(np.searchsorted(node, np.asarray(cands.column("node"))), np.diff(np.asarray(lists.offsets)))
-        dst = np.searchsorted(node, np.asarray(lists.flatten()))
+        node, unit, n = node[at], _unit(_matrix(vecs, "vec")[at]).astype(np.float32), len(at)
+
+        def marked(column: str) -> np.ndarray:
+            """A bit for each pair of nodes that the column lists."""
+            hit = np.zeros(n * n, bool)
+            for a in range(0, cands.num_rows, 1 << 14):
+                part = cands.slice(a, 1 << 14)
+                lists = part.column(column).combine_chunks()
+                src = np.repeat(np.searchsorted(node, np.asarray(part.column("node"))), lists.value_lengths().to_numpy())
+                hit[src * n + np.searchsorted(node, np.asarray(lists.flatten()))] = True
+            return hit
+
         # Only candidate pairs are scored, each once: a node's best come first in its stretch.
-        code = np.unique(src * len(node) + dst)
-        src, dst = code // len(node), code % len(node)
-        src, dst = src[src != dst], dst[src != dst]
+        known, code = marked("known"), marked("cand")
+        code |= known
+        code[:: n + 1] = False
+        src, dst = (x.astype(np.int32) for x in np.divmod(np.flatnonzero(code), n))
         sims = _dots(unit, src, unit, dst)
         order = np.lexsort((dst, -sims, src))
         src, dst, sims = src[order], dst[order], sims[order]
-        ends = np.searchsorted(src, np.arange(len(node) + 1))
-        best = np.arange(len(src)) - ends[src] < degree
+        best = np.arange(len(src)) - np.searchsorted(src, np.arange(n))[src] < degree
         src, dst, sims = src[best], dst[best], sims[best]
-        ends = np.searchsorted(src, np.arange(len(node) + 1))
-        rows = [(node[r], node[dst[x:y]], sims[x:y]) for r, (x, y) in enumerate(zip(ends, ends[1:]))]
-        shard = vecs.column("home")[0].as_py() if vecs.num_rows else 0
-        return pa.Table.from_arrays([pa.array([shard] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))], schema=schema) if rows else schema.empty_table()
+        fresh = ~known[src.astype(np.int64) * n + dst]
+        ends = np.searchsorted(src, np.arange(n + 1))
+        shard = vecs.column("home")[0].as_py() if n else 0
+        cut = lambda v, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, kind))
+        return pa.Table.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(node, pa.int64()), cut(node[dst], pa.int64()), cut(sims, pa.float32()), cut(fresh, pa.bool_())], schema=schema)
 
     # Random start: the nodes that follow in a shuffled circle, at several strides.
+    none = F.array().cast("array<long>")
     order = Window.partitionBy("shard").orderBy(F.xxhash64("node", F.lit(1)), "node")
     circle = points.select(F.col("shard").alias("shard"), F.col("node").alias("node"), (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy("shard")).alias("n"))
     steps = F.explode(F.transform(F.sequence(F.lit(1), F.lit(degree)), lambda k: (F.col("i") + k * k) % F.col("n")))
-    cands = circle.select("shard", "node", steps.alias("i")).join(circle.select("shard", "i", F.col("node").alias("to")), ["shard", "i"]).select("shard", "node", F.array("to").alias("cand"))
+    cands = circle.select("shard", "node", steps.alias("i")).join(circle.select("shard", "i", F.col("node").alias("to")), ["shard", "i"]).select("shard", "node", F.array("to").alias("cand"), none.alias("known"))
     own, graph = points.select(F.col("shard").alias("home"), F.col("node").alias("node"), "vec"), None
     for _ in range(rounds + 1):
         graph = stage(cands.groupBy("shard").cogroup(own.groupBy("home")).applyInArrow(improve, ddl), "graph")
-        edges = graph.select("shard", "node", F.explode(F.arrays_zip("near", "sims")).alias("e")).select("shard", "node", F.col("e.near").alias("to"), F.col("e.sims").alias("sim"))
-        back = edges.select("shard", F.col("to").alias("node"), F.col("node").alias("to"), "sim")
+        edges = graph.select("shard", "node", F.explode(F.arrays_zip("near", "sims", "fresh")).alias("e")).select("shard", "node", F.col("e.near").alias("to"), F.col("e.sims").alias("sim"), F.col("e.fresh").alias("fresh"))
+        back = edges.select("shard", F.col("to").alias("node"), F.col("node").alias("to"), "sim", "fresh")
         # A popular node keeps its best reverse edges; a shard bounds how many it can have.
-        sym = edges.unionByName(back).distinct().withColumn("r", F.row_number().over(Window.partitionBy("shard", "node").orderBy(F.desc("sim"), "to"))).where(F.col("r") <= 2 * degree)
-        lists = sym.groupBy("shard", "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "to"))).alias("l")).select("shard", "node", F.transform("l", lambda x: x["to"]).alias("near"))
+        sym = edges.unionByName(back).groupBy("shard", "node", "to").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh")).withColumn("r", F.row_number().over(Window.partitionBy("shard", "node").orderBy(F.desc("sim"), "to"))).where(F.col("r") <= 2 * degree)
+        lists = sym.groupBy("shard", "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "to", "fresh"))).alias("l")).select("shard", "node", F.transform("l", lambda x: x["to"]).alias("near"), F.transform("l", lambda x: x["fresh"]).alias("fresh"))
         lists = stage(lists, "adjacency")
-        nn = sym.join(lists.select("shard", F.col("node").alias("to"), F.col("near").alias("far")), ["shard", "to"]).select("shard", "node", F.concat(F.array("to"), "far").alias("cand"))
-        cands = nn
-    return lists
+        # A neighbour's neighbour is a candidate once: when either edge on the way is new.
+        way = F.transform(F.filter(F.arrays_zip("far", "new"), lambda x: F.col("fresh") | x["new"]), lambda x: x["far"])
+        nn = sym.join(lists.select("shard", F.col("node").alias("to"), F.col("near").alias("far"), F.col("fresh").alias("new")), ["shard", "to"]).select("shard", "node", F.concat(F.array("to"), way).alias("cand"), none.alias("known"))
+        cands = nn.unionByName(graph.select("shard", "node", none.alias("cand"), F.col("near").alias("known")))
+    return lists.select("shard", "node", "near")
 
 
 def greedy_search(unit: np.ndarray, near: list[np.ndarray], queries: np.ndarray, beam: int, entries: int, wide: int = 8) -> tuple[np.ndarray, np.ndarray]:
