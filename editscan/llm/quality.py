@@ -73,6 +73,14 @@ def chi2_quantile(q: float, k: int) -> float:
     return high
 
 
+SALTS = 64
+
+
+def _salted(small: DataFrame) -> DataFrame:
+    """Rows a group for each salt, so that a group with most of the documents is joined in many tasks where the table is not broadcast."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _distance(df: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance to mean m* and Cholesky factor l*."""
     for i in range(P):
@@ -100,7 +108,8 @@ def _moments(df: DataFrame, by: list[str]) -> DataFrame:
 
 def _shrunk(df: DataFrame, tree: DataFrame, cols: list[str], prior: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Averages ``cols`` of groups (g, *on, n), each with ``prior`` rows of its parent's shrunk averages besides; tree: (g, parent, level)."""
-    out, above = None, None
+    # Staged, since every level reads it: one small row a group.
+    df, out, above = stage(df, "averages"), None, None
     for level in range(3):
         at = df.join(tree.where(F.col("level") == level).select("g", "parent"), "g")
         if above is not None:
@@ -122,20 +131,20 @@ _D_BINS = 64
 def minimum_covariance_determinant(vectors: DataFrame, tree: DataFrame, h: float = 0.75, steps: int = 4, prior: float = 50.0) -> DataFrame:
     """Per group g: mean m*, Cholesky factor l* (consistent at the normal).
 
-    vectors: (g, x0..x4), a row for each group that a document is of, its own and those above;
+    vectors: (g, salt, x0..x4), a row for each group that a document is of, its own and those above;
     tree: (g, parent, level), level 0 the root. An empty table gives an empty result.
     """
     # Start 0: medians and median absolute deviations; start 1: spatial signs about the medians.
-    long = vectors.select("g", F.posexplode(F.array(*_X)).alias("k", "x"))
+    long = vectors.select("g", "salt", F.posexplode(F.array(*_X)).alias("k", "x"))
     place = lambda df, x, by: _quantile(df.withColumn("bin", F.floor(F.col(x) * 128).cast("long")), by, 0.5)
     wide = lambda df, name: df.groupBy("g").agg(F.max("all").alias("n"), *[F.max(F.when(F.col("k") == i, F.col("v"))).alias(f"{name}{i}") for i in range(P)])
     med = place(long, "x", ["g", "k"]).select("g", "k", "all", ((F.col("bin") + 0.5) / 128).alias("v"))
     med = stage(_shrunk(wide(med, "m"), tree, [f"m{i}" for i in range(P)], prior), "medians")
     centre = med.select("g", F.posexplode(F.array(*[f"m{i}" for i in range(P)])).alias("k", "m"))
-    mad = place(long.join(centre, ["g", "k"]).withColumn("r", F.abs(F.col("x") - F.col("m"))), "r", ["g", "k"]).select("g", "k", "all", ((F.col("bin") + 0.5) / 128 * 1.4826).alias("v"))
+    mad = place(long.join(_salted(centre), ["g", "k", "salt"]).withColumn("r", F.abs(F.col("x") - F.col("m"))), "r", ["g", "k"]).select("g", "k", "all", ((F.col("bin") + 0.5) / 128 * 1.4826).alias("v"))
     start = stage(med.join(_shrunk(wide(mad, "v"), tree, [f"v{i}" for i in range(P)], prior), "g"), "starts")
     scale = lambda i: F.greatest(F.col(f"v{i}"), F.lit(FLOOR[i]))
-    z = vectors.join(start, "g")
+    z = vectors.join(_salted(start), ["g", "salt"])
     for i in range(P):
         z = z.withColumn(f"z{i}", (F.col(f"x{i}") - F.col(f"m{i}")) / scale(i))
     z = z.withColumn("norm", F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0)), F.lit(1e-9)))
@@ -145,7 +154,7 @@ def minimum_covariance_determinant(vectors: DataFrame, tree: DataFrame, h: float
     first = [both.select("g", F.lit(s).alias("start"), *[f"m{i}" for i in range(P)], *[((F.col(f"c{i}{j}") * P if s else F.lit(float(i == j))) * scale(i) * scale(j)).alias(f"a{i}{j}") for i, j in pairs]) for s in (0, 1)]
     shape = stage(_factor(first[0].unionByName(first[1])), "shapes")
     for _ in range(steps):
-        d = _distance(vectors.join(shape, "g")).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * _D_BINS).cast("long"))
+        d = _distance(vectors.join(_salted(shape), ["g", "salt"])).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * _D_BINS).cast("long"))
         bins = _moments(d, ["g", "start", "bin"])
         w = Window.partitionBy("g", "start")
         # At most a bin for each 64th of a power of two from 2^-20 on, whatever the group's size.
@@ -181,12 +190,12 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     d = d.withColumns({"x0": F.log1p("n_words"), "x1": F.log((F.col("word_chars") + 1) / per), "x2": F.log1p(100 * F.col("n_symbols") / per), "x3": F.log1p(F.col("n_dup_lines")), "x4": F.log1p(100 * F.col("n_repeat_words") / per)})
     # A name holds its language's length, so no two groups share one.
     names = [F.lit("all"), F.concat(F.lit("l"), F.col("lang")), F.concat(F.lit("g"), F.length("lang").cast("string"), F.lit(":"), "lang", "source")]
-    d = stage(d.withColumn("g", names[2]), "statistics")
+    d = stage(d.withColumn("g", names[2]).withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")), "statistics")
     ok = d.where(~F.col("base_failed"))
     level = lambda k: F.struct(names[k].alias("g"), (names[k - 1] if k else F.lit(None).cast("string")).alias("parent"), F.lit(k).alias("level"))
     tree = stage(ok.select("lang", "source").distinct().select(F.explode(F.array(*[level(k) for k in range(3)])).alias("t")).select("t.*").distinct(), "groups")
-    vectors = ok.select(F.explode(F.array(*names)).alias("g"), *_X)
+    vectors = ok.select(F.explode(F.array(*names)).alias("g"), "salt", *_X)
     shape = minimum_covariance_determinant(vectors, tree, prior=prior)
-    far = _distance(d.join(shape, "g", "left"))
+    far = _distance(d.join(_salted(stage(shape, "shape")), ["g", "salt"], "left"))
     good = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(1 - cutoff, P))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance2"), good.alias("kept"))
