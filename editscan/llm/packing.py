@@ -116,13 +116,22 @@ def encoder(vocabulary: str):
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
     model, added = spec["model"], [t["content"] for t in spec["added_tokens"]]
+    del spec
     # The format's alphabet: printable Latin-1 bytes stand for themselves, the others for 256 and up, in order.
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if w not in set(added)}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast, slow = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, Tokenizer.from_file(vocabulary)
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if any(t in text for t in added) else fast(text)
+    fast, slow = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, []
+
+    def encode(text: str) -> list[int]:
+        if not any(t in text for t in added):
+            return fast(text)
+        if not slow:  # Few texts need it, and it takes memory.
+            slow.append(Tokenizer.from_file(vocabulary))
+        return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", carry: tuple = ("ids",)) -> DataFrame:
