@@ -9,6 +9,7 @@ distinct key) instead of one shuffled row per token.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,12 +30,14 @@ BLOCK_SCHEMA = "block long, n_docs long, n_tokens long, marked_tokens long, mark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder all executors share: spark.checkpoint.dir, set here only where unset and the master is this machine alone; an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="editscan-")
         spark.sparkContext.setCheckpointDir(base)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -49,9 +52,11 @@ def stage(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/editscan/{name}-{uuid.uuid4().hex}"
-    # Once the table stands, nobody reads the shuffles that made it.
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    # Once the table stands, nobody reads the shuffles that made it; and texts go to Python in small batches.
+    made = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k, None) for k in made}
+    for k, v in made.items():
+        spark.conf.set(k, v)
     try:
         to, table = df.write.option("compression", codec), f"editscan_{name}_{uuid.uuid4().hex}"
         if by:
@@ -59,7 +64,8 @@ def stage(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None
         else:
             to.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.table(table) if by else spark.read.schema(df.schema).parquet(path)
     out._staged, out._table = path, table if by else None
     return out
