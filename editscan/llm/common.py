@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 BLOCK_TOKENS = 1 << 19
 KEYS_PER_RANGE = 1 << 21
+FAN = 1 << 10
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 BLOCK_SCHEMA = "block long, n_docs long, n_tokens long, marked_tokens long, marked_docs long, doc_ids array<long>, marks binary, lens binary, ids binary, vocab binary"
@@ -44,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy", by: str | tuple[str, ...] = ()) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage.
 
-    With ``by`` it is a table of the session in buckets of that column, as many as there are
-    shuffle partitions: grouped by the column it needs no shuffle. Such tables are to be unstaged.
+    With ``by`` it is a table of the session in buckets of that column, or of those, as many as
+    there are shuffle partitions: grouped by them it needs no shuffle. Such tables are to be unstaged.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/editscan/{name}-{uuid.uuid4().hex}"
@@ -60,7 +61,7 @@ def stage(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None
     try:
         to, table = df.write.option("compression", codec), f"editscan_{name}_{uuid.uuid4().hex}"
         if by:
-            to.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+            to.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *([by] if isinstance(by, str) else by)).option("path", path).saveAsTable(table)
         else:
             to.parquet(path)
     finally:
@@ -279,7 +280,7 @@ _SENT = "slot long, unit long, keys binary, vals binary"
 _BACK = "slot long, unit long, totals binary, n_pos long, top_keys binary, top_totals binary"
 
 
-def key_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, answer: Callable[[np.ndarray], bytes], read: Callable[[bytes], np.ndarray], value: str = "<u8", top: int = 0, kind: type[Block] = Block, keys_per_range: int | None = None, fan: int = 256) -> DataFrame:
+def key_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_keys: int, answer: Callable[[np.ndarray], bytes], read: Callable[[bytes], np.ndarray], value: str = "<u8", top: int = 0, kind: type[Block] = Block, keys_per_range: int | None = None, fan: int = FAN, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Sums per key over all blocks, and an answer made of them returned to every block that holds the key.
 
     ``keys_of`` gives a block's distinct uint64 keys, ascending, with its values (type ``value``);
@@ -288,7 +289,8 @@ def key_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray,
     entries go there in several hops: a hop sends to ``fan`` slices of the keys at most, and
     there the entries of as many blocks are summed to one block's, so the rows of a hop are in
     proportion to the blocks, and a key that all blocks hold has no more than ``fan`` entries in
-    a task. Answers come back the same way. Rows: slot, unit (the block), totals (``answer``,
+    a task. Answers come back the same way. A hop's table holds all its entries; ``scratch`` gets
+    the hops' tables, to be unstaged when the rows have been written. Rows: slot, unit (the block), totals (``answer``,
     which ``read`` undoes and the next hop makes again, of the block's keys in the slot, in
     order) and, at unit -1, a row a range with n_pos (keys with a sum above 0) and, where
     ``top`` is not 0, the keys and sums of at least it.
@@ -303,7 +305,7 @@ def key_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray,
 
     def pieces(slot: int, unit: int, keys: np.ndarray, vals: np.ndarray, fans: list[int]) -> list[tuple]:
         cut = _cut(keys, *_span(slot, fans), each)
-        return [(slot * each + r, unit, pack(np.diff(keys[a:b], prepend=np.uint64(0))), planes(vals[a:b], value)) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        return [(slot * each + r, unit, planes(np.diff(keys[a:b], prepend=np.uint64(0))), planes(vals[a:b], value)) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
     def send(batches):
         for x in blocks_in(batches, kind):
@@ -313,7 +315,7 @@ def key_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray,
     def opened(table: pa.Table):
         """Units in order, their keys, the distinct keys with each entry's place among them, and the sums."""
         table = table.sort_by("unit")
-        keys = [np.cumsum(unpack(b.as_py(), np.uint64), dtype=np.uint64) for b in table.column("keys")]
+        keys = [np.cumsum(unplanes(b.as_py()), dtype=np.uint64) for b in table.column("keys")]
         vals = np.concatenate([unplanes(b.as_py(), value) for b in table.column("vals")])
         uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(len(uniq), np.dtype(value))
@@ -348,19 +350,20 @@ def key_exchange(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray,
         got = _in_order(answers, read)
         return pa.Table.from_batches([rows_to_batch(dealt(table.column("slot")[0].as_py(), units, keys, got[inv]), back)])
 
-    rows, levels = blocks.mapInArrow(send, _SENT), []
+    rows, levels, scratch = blocks.mapInArrow(send, _SENT), [], [] if scratch is None else scratch
     n_blocks = blocks.count() if hops > 1 else 0
     for hop in range(1, hops):
         crowd = F.pmod(F.xxhash64("unit"), F.lit(-(-n_blocks // each**hop)))
-        rows = stage(rows, "hop")
-        levels.append((rows, crowd))
-        rows = rows.groupBy("slot", crowd.alias("crowd")).applyInArrow(merge([each] * hop), _SENT)
+        rows = stage(rows.withColumn("crowd", crowd).repartition("slot", "crowd"), "hop", by=("slot", "crowd"))
+        levels.append(rows)
+        rows = rows.groupBy("slot", "crowd").applyInArrow(merge([each] * hop), _SENT)
     out = rows.groupBy("slot").applyInArrow(total, _BACK)
-    for level, crowd in reversed(levels):
+    scratch += levels
+    for level in reversed(levels):
         out = stage(out, "answers")
-        down = out.where("unit >= 0").groupBy(F.expr(f"slot div {each}").alias("s"), F.col("unit").alias("u"))
-        up = level.groupBy(F.col("slot").alias("s"), crowd.alias("u"))
-        out = up.cogroup(down).applyInArrow(undo, _BACK).unionByName(out.where("unit < 0"))
+        scratch.append(out)
+        down = out.where("unit >= 0").groupBy(F.expr(f"slot div {each}").alias("slot"), F.col("unit").alias("crowd"))
+        out = level.groupBy("slot", "crowd").cogroup(down).applyInArrow(undo, _BACK).unionByName(out.where("unit < 0"))
     return out
 
 

@@ -16,7 +16,9 @@ verdicts of the depths so far and make each token's probability of them.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +100,18 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
     words, trained, keys = blocks.agg(F.coalesce(F.sum("marked_tokens"), F.lit(0)), F.coalesce(F.sum("marked_docs"), F.lit(0)), F.coalesce(F.sum(F.length("vocab") / 8), F.lit(0)).cast("long")).first()
     n = words + trained
 
+    def drop(*old: DataFrame) -> None:
+        for df in old:
+            unstage(df)
+
     def keys_of(x: Block):
         at = np.argsort(x.vocab)
         counts = np.bincount(x.ids[np.repeat(x.marks, x.lens)], minlength=len(x.vocab))
         return x.vocab[at], counts[at]
 
-    got = stage(count_exchange(blocks, keys_of, keys, **sizes), "counts")
+    hops = []
+    got = stage(count_exchange(blocks, keys_of, keys, scratch=hops, **sizes), "counts")
+    drop(*hops)
     v = (got.where("unit = -1").agg(F.sum("n_pos")).first()[0] or 0) + (trained > 0)
     names = [f.strip().split(" ")[0] for f in _STATE.split(", ")]
     schema, out = _arrow_schema(spark, _STATE), _arrow_schema(spark, _OUT)
@@ -187,26 +195,30 @@ def suffix_tree_scores(docs: DataFrame, train: F.Column, doc_id: str = "doc_id",
     def followers(s: DataFrame) -> int:
         return s.agg(F.coalesce(F.sum("n_next"), F.lit(0))).first()[0]
 
-    def drop(*old: DataFrame) -> None:
-        for df in old:
-            unstage(df)
+    def returned(exchange: Callable, s: DataFrame, keys_of: Callable, n_keys: int, kind: int) -> DataFrame:
+        """The blocks' answers of one exchange, staged before the next begins: one's entries at a time are on disk."""
+        hops = []
+        rows = exchange(s, keys_of, n_keys, kind=State, scratch=hops, **sizes).where("unit >= 0").select("slot", F.col("unit").alias("block"), "totals", F.lit(kind).alias("kind"))
+        answers = stage(rows, "totals")
+        drop(*hops)
+        return answers
 
     def verdicts(s: DataFrame, depth: int, now: int) -> DataFrame:
-        return flags_exchange(s, lambda x: left_out(x, depth), now, kind=State, **sizes).where("unit >= 0").select("slot", F.col("unit").alias("block"), "totals", F.lit(1).alias("kind"))
+        return returned(flags_exchange, s, lambda x: left_out(x, depth), now, 1)
 
     cur = stage(blocks.groupBy("block").cogroup(got.where("unit >= 0").groupBy("unit")).applyInArrow(root, _STATE), "states", by="block")
     depth, now, more = 0, 0, followers(cur)
     drop(blocks, got)
     while depth < max_depth and more:
-        totals = count_exchange(cur, lambda x, d=depth + 1: counted(x, d), more, kind=State, **sizes).where("unit >= 0").select("slot", F.col("unit").alias("block"), "totals", F.lit(0).alias("kind"))
-        if depth:
-            totals = totals.unionByName(verdicts(cur, depth, now))
+        answers = [verdicts(cur, depth, now)] if depth else []
         depth += 1
-        totals = stage(totals, "totals")
+        answers.append(returned(count_exchange, cur, lambda x, d=depth: counted(x, d), more, 0))
+        totals = functools.reduce(DataFrame.unionByName, answers)
         before, cur = cur, stage(cur.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(next_depth(depth), _STATE), "states", by="block")
         now, more = more, followers(cur)
-        drop(before, totals)
-    last = verdicts(cur, depth, now) if depth else cur.select(F.lit(0).cast("long").alias("slot"), "block", F.lit(None).cast("binary").alias("totals"), F.lit(1).alias("kind")).limit(0)
-    scores = stage(cur.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(scored(depth), _OUT), "scores")
-    drop(cur)
+        drop(before, *answers)
+    last = [verdicts(cur, depth, now)] if depth else []
+    totals = last[0] if last else cur.select(F.lit(0).cast("long").alias("slot"), "block", F.lit(None).cast("binary").alias("totals"), F.lit(1).alias("kind")).limit(0)
+    scores = stage(cur.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scored(depth), _OUT), "scores")
+    drop(cur, *last)
     return scores

@@ -3,11 +3,12 @@
 import random
 import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from editscan.llm import suffix_tree
-from editscan.llm.common import Block, count_exchange, flags_exchange, flags_of, stage, token_blocks, totals_of
+from editscan.llm.common import Block, count_exchange, flags_exchange, flags_of, shared_dir, stage, token_blocks, totals_of
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -64,3 +65,12 @@ def test_scores_do_not_depend_on_hops(spark):
     docs = made(spark)
     scores = [{r["doc_id"]: r["score"] for r in suffix_tree.suffix_tree_scores(docs, F.col("doc_id") % 7 != 2, **sizes).collect()} for sizes in ({}, {"keys_per_range": 300, "fan": 3})]
     assert scores[0] == pytest.approx(scores[1])
+
+
+def test_only_the_scores_stay(spark):
+    """Tables of hops hold every entry of an exchange; no table but the result stays, at any number of hops."""
+    top = Path(shared_dir(spark).removeprefix("file:")) / "editscan"
+    for sizes in ({}, {"keys_per_range": 300, "fan": 3}):
+        before = set(top.iterdir()) if top.exists() else set()
+        suffix_tree.suffix_tree_scores(made(spark), F.col("doc_id") % 7 != 2, **sizes)
+        assert [p.name.split("-")[0] for p in set(top.iterdir()) - before] == ["scores"]
