@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIZE = 20_000
@@ -10,9 +10,9 @@ _REF = "substr('ACGT', cast(1 + (((p*7919 + ch*104729) % 10007) * ((p*31+17) % 1
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("bigint").alias("ok"), F.col("l_linenumber").cast("bigint").alias("ln")).distinct()
-    both = li.groupBy("ok", F.expr("(ln - 1) div 2").alias("g")).agg((F.count("*") == 2).alias("mated"))
-    d = li.withColumn("g", F.expr("(ln - 1) div 2")).join(both, ["ok", "g"])
+    # Dealt by order once, which serves the distinct lines as well as their mates.
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("bigint").alias("ok"), F.col("l_linenumber").cast("bigint").alias("ln")).repartition("ok").distinct()
+    d = li.where("ok is not null and ln is not null").withColumn("g", F.expr("(ln - 1) div 2")).withColumn("mated", F.count("*").over(Window.partitionBy("ok", "g")) == 2)
     d = d.selectExpr("ok", "ln", "mated", "ok % 4 as ch", "ok * 4 + g as f", "(ln - 1) % 2 as m", "(ok*7919 + g*613) % 19800 as p0", "(ok*31) % 60 as gap", "(ok*ln*7) % 61 as mapq", "(ok*13 + ln) % 17 = 0 as dup")
     return d.withColumn("pos", F.expr("p0 + m * gap")).withColumn("file_ord", F.expr("ok * 100 + ln"))
 
